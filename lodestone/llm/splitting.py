@@ -136,8 +136,8 @@ def with_limits(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     it where its measured size is under spark.sql.autoBroadcastJoinThreshold.
     """
     own = limits.groupBy(normal_source("data_source").alias("__source")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("__own"))
-    rest = own.filter(F.col("__source") == "default").select(F.col("__own").alias("__rest"))
-    joined = chunks.withColumn("__source", normal_source("data_source")).join(own, "__source", "left").join(rest, how="left")
+    joined = chunks.withColumn("__source", normal_source("data_source")).join(own, "__source", "left")
+    joined = joined.withColumn("__rest", own.filter(F.col("__source") == "default").select("__own").scalar())
     chosen = F.coalesce("__own", "__rest")
     return joined.withColumn("max_chars", chosen["max_chars"]).withColumn("overlap_chars", chosen["overlap_chars"]).drop("__source", "__own", "__rest")
 
