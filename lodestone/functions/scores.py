@@ -75,7 +75,7 @@ def any_containment(p: Column, g: Column, separator: str = ";") -> Column:
 
 def all_elements(p: Column, g: Column) -> Column:
     """1 if every gold element occurs in the prediction, without case."""
-    return F.forall(keywords(F.lower(g)), lambda x: F.contains(F.lower(p), x)).cast("double")
+    return F.forall(keywords(F.lower(g)), lambda x: F.coalesce(F.contains(F.lower(p), x), F.lit(False))).cast("double")
 
 
 def hierarchical_label(p: Column, g: Column) -> Column:

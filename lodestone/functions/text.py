@@ -129,7 +129,7 @@ def final_answer(c: str | Column) -> Column:
     """A mathematical final answer in a plain form: no units, dollar signs, text commands and thousands separators."""
     x = F.element_at(F.split(col(c), "="), -1)
     x = F.regexp_replace(x, r"\\text\{([^}]*)\}|\\textbf\{([^}]*)\}|\\boxed\{([^}]*)\}|\\overline\{([^}]*)\}", "$1$2$3$4")
-    x = F.regexp_replace(x, r"\b(an|a) | percent| dollars| units| degrees|\\\$|\$|%|\\ ", "")
+    x = F.regexp_replace(x, r"(^| )(?:an|a) | percent| dollars| units| degrees|\\\$|\$|%|\\ ", "$1")
     x = F.regexp_replace(x, r"(\d),(?=\d{3}\b)", "$1")
     return F.trim(x)
 

@@ -73,7 +73,7 @@ def flt12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "FLT13_answerable_parts",
-    """WITH p AS (SELECT result_id, list_filter(list_transform(string_split(gold_answer, ','), x -> trim(x)), x -> x <> '' AND contains(lower(predicted_answer), lower(x))) AS hit FROM eval_results)
+    """WITH p AS (SELECT result_id, list_filter(list_transform(string_split(gold_answer, ','), lambda x: trim(x)), lambda x: x <> '' AND contains(lower(predicted_answer), lower(x))) AS hit FROM eval_results)
     SELECT result_id, array_to_string(hit, ';') AS answer FROM p WHERE len(hit) > 0""",
 )
 def flt13(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,8 +352,8 @@ def set3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "SET4_ordered_distinct_keywords",
-    """SELECT result_id, array_to_string(list_filter(k, (x, i) -> NOT list_contains(list_transform(k[:i-1], y -> lower(y)), lower(x))), '|') AS keywords FROM (
-    SELECT result_id, list_filter(list_transform(string_split(gold_answer, ','), x -> trim(x)), x -> x <> '') AS k FROM eval_results WHERE gold_answer IS NOT NULL)""",
+    """SELECT result_id, array_to_string(list_filter(k, lambda x, i: NOT list_contains(list_transform(k[:i-1], lambda y: lower(y)), lower(x))), '|') AS keywords FROM (
+    SELECT result_id, list_filter(list_transform(string_split(gold_answer, ','), lambda x: trim(x)), lambda x: x <> '') AS k FROM eval_results WHERE gold_answer IS NOT NULL)""",
 )
 def set4(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "eval_results").filter("gold_answer IS NOT NULL").select("result_id", F.array_join(C.ordered_distinct(F.split("gold_answer", ",")), "|").alias("keywords"))
@@ -403,10 +403,10 @@ def set11(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("fold", F.array_join(F.transform("i", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("SET12_flatten_and_regroup", f"SELECT instance_id, string_agg(upper(question), '|' ORDER BY qa_idx) AS questions FROM {QAS} GROUP BY instance_id")
+@query("SET12_flatten_and_regroup", f"SELECT instance_id, string_agg(lower(question), '|' ORDER BY qa_idx) AS questions FROM {QAS} GROUP BY instance_id")
 def set12(spark: SparkSession, sf: str) -> DataFrame:
     q = C.questions(table(spark, sf, "instances"))
-    back = q.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("qa_idx", F.upper("question").alias("q")))).alias("x"))
+    back = q.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("qa_idx", F.lower("question").alias("q")))).alias("x"))
     return back.select("instance_id", F.array_join(F.transform("x", lambda x: x["q"]), "|").alias("questions"))
 
 

@@ -13,7 +13,7 @@ from lodestone.operators import corpus as C
 from lodestone.plans.q_retrieval import operation_log
 from lodestone.plans.q_stats import r6, scored
 from lodestone.plans.registry import query
-from lodestone.session import checkpointed, table
+from lodestone.session import shared_folder, table
 from lodestone.sources import readers as S
 
 P, G = "predicted_answer", "gold_answer"
@@ -102,7 +102,7 @@ def str12(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("collection_key IS NOT NULL").select("doc_id", F.trim(x).alias("value"))
 
 
-@query("STR13_list_entries", r"SELECT result_id, len(list_filter(string_split(replace(predicted_answer, ',', chr(10)), chr(10)), x -> trim(x) <> '')) AS entries FROM eval_results WHERE predicted_answer IS NOT NULL")
+@query("STR13_list_entries", r"SELECT result_id, len(list_filter(string_split(replace(predicted_answer, ',', chr(10)), chr(10)), lambda x: trim(x) <> '')) AS entries FROM eval_results WHERE predicted_answer IS NOT NULL")
 def str13(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "eval_results").filter(F.col(P).isNotNull())
     return e.select("result_id", F.size(F.filter(F.split(F.replace(P, F.lit(","), F.lit("\n")), "\n"), lambda x: F.trim(x) != "")).alias("entries"))
@@ -157,7 +157,7 @@ def str25(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "pos", F.regexp_replace("line", "^Sample: ", "").alias("example"), F.trim(F.expr("substring(nxt, 8)")).alias("label"))
 
 
-@query("STR26_blocks_with_one_label", r"SELECT doc_id, len(list_filter(string_split(text, chr(10) || chr(10)), b -> len(regexp_extract_all(b, 'Label: ')) = 1)) AS blocks FROM documents WHERE text IS NOT NULL")
+@query("STR26_blocks_with_one_label", r"SELECT doc_id, len(list_filter(string_split(text, chr(10) || chr(10)), lambda b: len(regexp_extract_all(b, 'Label: ')) = 1)) AS blocks FROM documents WHERE text IS NOT NULL")
 def str26(spark: SparkSession, sf: str) -> DataFrame:
     blocks = F.filter(F.split("text", "\n\n"), lambda b: F.size(F.regexp_extract_all(b, F.lit("Label: "), F.lit(0))) == 1)
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.size(blocks).alias("blocks"))
@@ -338,8 +338,7 @@ def _streamed(spark: SparkSession, sf: str, name: str, plan, mode: str) -> DataF
 
     from lodestone.streaming import events as ev
 
-    checkpointed(spark.range(1))  # sets the shared folder where a test hasn't
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     still = table(spark, sf, "events")
     still.write.parquet(f"{root}/in")
     stream = plan(ev.read_events(spark, f"{root}/in", still), ev)

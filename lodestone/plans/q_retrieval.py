@@ -31,7 +31,7 @@ def bm25_sql(items: str, asked: str, k: int, store: str | None = None, having: s
     qt AS (SELECT {s}q, term, count(*) AS times FROM (SELECT {s}q, unnest({_WORDS.format('text')}) AS term FROM asked) GROUP BY ALL),
     sc AS (SELECT q, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING ({on}term) JOIN post USING ({on}term) GROUP BY q, id),
     rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM sc)
-    SELECT q, id, rank, round(score, 4) AS score FROM rk WHERE rank <= {k} {having}"""
+    SELECT q, id, rank, score FROM rk WHERE rank <= {k} {having}"""
 
 
 _ASKED = "SELECT result_id AS q, question AS text FROM eval_results WHERE result_id % 50 = 0"
@@ -60,42 +60,39 @@ def _chunk_hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return R.bm25(_chunks(spark, sf), _asked(spark, sf), "id", "text", "q", "text", k, ["instance_id"])
 
 
-_R4 = lambda d: d.withColumn("score", F.round("score", 4))
-
-
 @query("RET1_bm25_top_k", bm25_sql("SELECT doc_id AS id, text FROM documents", _ASKED, 5, having="AND score >= 0"))
 def ret1(spark: SparkSession, sf: str) -> DataFrame:
     """The five best documents of each question; negative scores are dropped."""
-    return _R4(_hits(spark, sf, 5).filter("score >= 0"))
+    return _hits(spark, sf, 5).filter("score >= 0")
 
 
 @query("RET2_bm25_by_store", bm25_sql(_CHUNKS, _ASKED_IN, 20, "instance_id"))
 def ret2(spark: SparkSession, sf: str) -> DataFrame:
     """Every instance is a store of its own: statistics and hits are its chunks'."""
-    return _R4(_chunk_hits(spark, sf, 20))
+    return _chunk_hits(spark, sf, 20)
 
 
 @query("RET3_chunks_for_question", bm25_sql(_CHUNKS, _ASKED_IN, 2, "instance_id"))
 def ret3(spark: SparkSession, sf: str) -> DataFrame:
-    return _R4(_chunk_hits(spark, sf, 2))
+    return _chunk_hits(spark, sf, 2)
 
 
-_COS = """WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x))) AS n FROM embeddings),
-    s AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), x -> CAST(x[1] AS DOUBLE) / a.n * (CAST(x[2] AS DOUBLE) / b.n))), 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.n > 0 AND b.n > 0)"""
+_COS = """WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings),
+    s AS (SELECT a.vec_id AS q, b.vec_id AS vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) / a.n * (CAST(x[2] AS DOUBLE) / b.n))), 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.n > 0 AND b.n > 0)"""
 
 
-@query("RET4_cosine_top_k", _COS + " SELECT q, vec_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
+@query("RET4_cosine_top_k", _COS + " SELECT q, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
 def ret4(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "q")
-    return _R4(R.cosine_top_k(v, q, "vec_id", "embedding", "q", 10))
+    return R.cosine_top_k(v, q, "vec_id", "embedding", "q", 10)
 
 
 @query("RET5_dispatch", bm25_sql("SELECT doc_id AS id, text FROM documents", "SELECT result_id AS q, question AS text FROM eval_results WHERE result_id % 50 = 0 AND trim(question) <> ''", 3))
 def ret5(spark: SparkSession, sf: str) -> DataFrame:
     """The method that a query asks for; blank queries find nothing."""
     asked = _asked(spark, sf).filter(F.trim("text") != "")
-    return _R4(R.bm25(_documents(spark, sf), asked, "id", "text", "q", "text", 3))
+    return R.bm25(_documents(spark, sf), asked, "id", "text", "q", "text", 3)
 
 
 @query("RET6_followed_up_hits")
@@ -123,7 +120,7 @@ def top1(spark: SparkSession, sf: str) -> DataFrame:
     return best.withColumn("k", F.row_number().over(Window.partitionBy("data_source").orderBy(*order))).filter("k <= 20").select("data_source", "result_id", "k")
 
 
-@query("TOP3_within_token_budget", bm25_sql(_CHUNKS, _ASKED_IN, 20, "instance_id").replace("SELECT q, id, rank, round(score, 4) AS score FROM rk WHERE rank <= 20", "SELECT q, id, rank FROM (SELECT q, id, rank, sum(length(coalesce(i.text, '')) // 4) OVER (PARTITION BY q ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM rk JOIN items i USING (id) WHERE rank <= 20) WHERE upto <= 2000 OR rank = 1"))
+@query("TOP3_within_token_budget", bm25_sql(_CHUNKS, _ASKED_IN, 20, "instance_id").replace("SELECT q, id, rank, score FROM rk WHERE rank <= 20", "SELECT q, id, rank FROM (SELECT q, id, rank, sum(length(coalesce(i.text, '')) // 4) OVER (PARTITION BY q ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM rk JOIN items i USING (id) WHERE rank <= 20) WHERE upto <= 2000 OR rank = 1"))
 def top3(spark: SparkSession, sf: str) -> DataFrame:
     """The most hits whose tokens fit a budget, in one pass over the ranks."""
     sizes = _chunks(spark, sf).select("id", token_estimate("text").alias("tokens"))
@@ -187,7 +184,7 @@ def mem5(spark: SparkSession, sf: str) -> DataFrame:
     return operation_log(spark, sf).filter(F.col("memory_type").isin("semantic", "core")).groupBy("memory_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("MEM8_recurrent_summary", r"SELECT instance_id, array_to_string(list_filter(regexp_split_to_array(string_agg(coalesce(chunk, ''), ' ' ORDER BY chunk_idx, chunk_id), '\s+'), x -> x <> '')[-64:], ' ') AS memory FROM chunks GROUP BY instance_id")
+@query("MEM8_recurrent_summary", r"SELECT instance_id, array_to_string(list_filter(regexp_split_to_array(string_agg(coalesce(chunk, ''), ' ' ORDER BY chunk_idx, chunk_id), '\s+'), lambda x: x <> '')[-64:], ' ') AS memory FROM chunks GROUP BY instance_id")
 def mem8(spark: SparkSession, sf: str) -> DataFrame:
     return M.recurrent_summary(table(spark, sf, "chunks"), "instance_id", ["chunk_idx", "chunk_id"], "chunk")
 

@@ -44,20 +44,21 @@ def _text(name: str, tab: str, key: str, c: str, f, sql: str, where: str | None
 _F1_SQL = f"""(SELECT CASE WHEN closed OR same = 0 THEN 0 ELSE 2.0 * same / (np + ng) END FROM (
     SELECT ({NP} IN ('yes','no','noanswer') OR {NG} IN ('yes','no','noanswer')) AND {NP} <> {NG} AS closed,
         len(a) AS np, len(b) AS ng,
-        list_sum(list_transform(list_distinct(a), t -> least(len(list_filter(a, x -> x = t)), len(list_filter(b, x -> x = t))))) AS same
-    FROM (SELECT list_filter(string_split({NP}, ' '), t -> t <> '') AS a, list_filter(string_split({NG}, ' '), t -> t <> '') AS b)))"""
-_KW = "list_filter(list_transform(string_split(lower(gold_answer), ','), k -> trim(k)), k -> k <> '')"
+        coalesce(list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))))), 0) AS same
+    FROM (SELECT list_filter(string_split({NP}, ' '), lambda t: t <> '') AS a, list_filter(string_split({NG}, ' '), lambda t: t <> '') AS b)))"""
+_KW = "list_filter(list_transform(string_split(lower(gold_answer), ','), lambda k: trim(k)), lambda k: k <> '')"
 _BOX = r"CASE WHEN regexp_matches({c}, '\\boxed\{[^}]*\}') THEN trim(regexp_extract({c}, '\\boxed\{([^}]*)\}', 1)) ELSE trim({c}) END"
 
 _scored("SCO1_exact_match", S.exact_match, f"{NP} = {NG}")
 _scored("SCO2_token_f1", lambda p, g: S.token_f1(p, g)["f1"], f"CASE WHEN predicted_answer IS NULL OR gold_answer IS NULL THEN (CASE WHEN coalesce({NP} IN ('yes','no','noanswer'), false) THEN NULL END) ELSE {_F1_SQL} END")
 _scored("SCO3_substring_match", S.substring_match, f"contains({NP}, {NG})")
-_scored("SCO9_keyword_recall", S.keyword_recall, f"CASE WHEN gold_answer IS NULL OR predicted_answer IS NULL THEN 0 WHEN len({_KW}) = 0 THEN 0 ELSE len(list_filter({_KW}, k -> contains(lower(predicted_answer), k))) / len({_KW}) END")
-_scored("SCO10_digit_label", S.digit_label, rf"(CASE WHEN regexp_matches(regexp_replace({_BOX.replace('{c}', 'predicted_answer')}, '^[''""]+|[''""]+$', '', 'g'), '^[0-9]+$') THEN regexp_replace({_BOX.replace('{c}', 'predicted_answer')}, '^[''""]+|[''""]+$', '', 'g') ELSE '0' END) = trim(gold_answer)")
+_scored("SCO9_keyword_recall", S.keyword_recall, f"CASE WHEN gold_answer IS NULL OR predicted_answer IS NULL THEN 0 WHEN len({_KW}) = 0 THEN 0 ELSE len(list_filter({_KW}, lambda k: contains(lower(predicted_answer), k))) / len({_KW}) END")
+_LABEL = "regexp_replace(" + _BOX.replace("{c}", "predicted_answer") + ", '^[''\"]+|[''\"]+$', '', 'g')"
+_scored("SCO10_digit_label", S.digit_label, f"(CASE WHEN regexp_matches({_LABEL}, '^[0-9]+$') THEN {_LABEL} ELSE '0' END) = trim(gold_answer)")
 _scored("SCO11_containment", S.containment, "CASE WHEN coalesce(gold_answer, '') = '' THEN 1 ELSE CAST(contains(lower(predicted_answer), lower(gold_answer)) AS INTEGER) END")
-_scored("SCO12_parts_containment", lambda p, g: S.any_containment(p, g, ","), f"CASE WHEN gold_answer IS NULL OR predicted_answer IS NULL OR len({_KW}) = 0 THEN 0 ELSE len(list_filter({_KW}, k -> contains(lower(predicted_answer), k))) / len({_KW}) END")
-_scored("SCO15_all_elements", S.all_elements, f"len(list_filter({_KW}, k -> NOT contains(lower(predicted_answer), k))) = 0")
-_scored("SCO16_element_share", lambda p, g: F.try_divide(F.size(F.filter(X.keywords(F.lower(g)), lambda k: F.contains(F.lower(p), k))).cast("double"), F.size(X.keywords(F.lower(g))).cast("double")), f"CASE WHEN len({_KW}) = 0 OR predicted_answer IS NULL THEN CASE WHEN len({_KW}) = 0 THEN NULL ELSE 0 END ELSE len(list_filter({_KW}, k -> contains(lower(predicted_answer), k))) / len({_KW}) END")
+_scored("SCO12_parts_containment", lambda p, g: S.any_containment(p, g, ","), f"CASE WHEN gold_answer IS NULL OR predicted_answer IS NULL OR len({_KW}) = 0 THEN 0 ELSE len(list_filter({_KW}, lambda k: contains(lower(predicted_answer), k))) / len({_KW}) END")
+_scored("SCO15_all_elements", S.all_elements, f"len(list_filter({_KW}, lambda k: NOT coalesce(contains(lower(predicted_answer), k), false))) = 0")
+_scored("SCO16_element_share", lambda p, g: F.try_divide(F.size(F.filter(X.keywords(F.lower(g)), lambda k: F.contains(F.lower(p), k))).cast("double"), F.size(X.keywords(F.lower(g))).cast("double")), f"CASE WHEN len({_KW}) = 0 OR predicted_answer IS NULL THEN CASE WHEN len({_KW}) = 0 THEN NULL ELSE 0 END ELSE len(list_filter({_KW}, lambda k: contains(lower(predicted_answer), k))) / len({_KW}) END")
 _scored("SCO19_best_of_raw_and_parsed", lambda p, g: F.greatest(S.exact_match(p, g), S.exact_match(X.boxed(p), g)), f"greatest(CAST({NP} = {NG} AS INTEGER), CAST({norm_sql(_BOX.replace('{c}', 'predicted_answer'))} = {NG} AS INTEGER))")
 _scored("SCO22_tagged_exact_match", S.tagged_exact, f"coalesce(CAST({norm_sql('regexp_extract_all(predicted_answer, ' + chr(39) + '(?s)<answer>(.*?)</answer>' + chr(39) + ', 1)[-1]')} = {NG} AS INTEGER), 0)")
 _scored("SCO27_judge_label", lambda p, g: S.judge_label(p), "contains(lower(predicted_answer), 'yes') AND NOT contains(lower(predicted_answer), 'no')")
@@ -68,8 +69,8 @@ _text("STR2_normalize_answer", "eval_results", "result_id", "predicted_answer",
 _text("STR3_spaced_normal", "eval_results", "result_id", "predicted_answer", X.spaced_normal, r"trim(regexp_replace(regexp_replace(lower({c}), '[[:punct:]]', ' ', 'g'), '\s+', ' ', 'g'))")
 _text("STR4_strip_punctuation", "transcript_lines", "line_id", "word", X.strip_punctuation, "regexp_replace({c}, '[[:punct:]]', '', 'g')")
 _text("STR1_count_words", "documents", "doc_id", "text", lambda c: F.size(X.words(c)), r"len(regexp_extract_all(lower(coalesce({c}, '')), '[\p{L}\p{N}_]+'))")
-_text("STR5_backchannel_words", "transcript_lines", "line_id", "word", X.backchannel_words, "(SELECT CASE WHEN len(w) BETWEEN 1 AND 4 AND len(list_filter(w, x -> x NOT IN (" + ", ".join("'" + b.replace("'", "''") + "'" for b in X.BACKCHANNELS) + r"))) = 0 THEN len(w) ELSE 0 END FROM (SELECT list_filter(regexp_split_to_array(trim(regexp_replace(lower({c}), '[.,!?]', '', 'g')), '\s+'), x -> x <> '') AS w))")
-_text("STR6_simple_token_count", "eval_results", "result_id", "predicted_answer", lambda c: F.size(X.simple_tokens(F.coalesce(F.col(c), F.lit("")))), r"len(list_filter(regexp_split_to_array(translate(lower(coalesce({c}, '')), '.,!?', '    '), '\s+'), w -> w <> ''))")
+_text("STR5_backchannel_words", "transcript_lines", "line_id", "word", X.backchannel_words, "(SELECT CASE WHEN len(w) BETWEEN 1 AND 4 AND len(list_filter(w, lambda x: x NOT IN (" + ", ".join("'" + b.replace("'", "''") + "'" for b in X.BACKCHANNELS) + r"))) = 0 THEN len(w) ELSE 0 END FROM (SELECT list_filter(regexp_split_to_array(trim(regexp_replace(lower({c}), '[.,!?]', '', 'g')), '\s+'), lambda x: x <> '') AS w))")
+_text("STR6_simple_token_count", "eval_results", "result_id", "predicted_answer", lambda c: F.size(X.simple_tokens(F.coalesce(F.col(c), F.lit("")))), r"len(list_filter(regexp_split_to_array(translate(lower(coalesce({c}, '')), '.,!?', '    '), '\s+'), lambda w: w <> ''))")
 _text("STR7_after_answer_prefix", "eval_results", "result_id", "predicted_answer", X.after_answer_prefix, r"trim(regexp_replace(trim(CASE WHEN regexp_matches({c}, '(?i)answer:') THEN regexp_extract({c}, '(?i)answer:\s*([^\n]*)', 1) ELSE split_part({c}, chr(10), 1) END), '(?i)^(answer:\s*)+', ''))")
 _text("STR8_boxed", "eval_results", "result_id", "predicted_answer", X.boxed, _BOX)
 _text("STR10_after_thinking", "chunks", "chunk_id", "chunk", X.after_thinking, "(SELECT CASE WHEN contains(r, '<think>') THEN 'Empty' ELSE trim(r) END FROM (SELECT CASE WHEN contains({c}, '</think>') THEN split_part({c}, '</think>', 2) ELSE {c} END AS r))")
@@ -78,7 +79,7 @@ _text("STR22_last_tag", "chunks", "chunk_id", "chunk", lambda c: X.last_tag(c, "
 _text("STR23_tags_balanced", "chunks", "chunk_id", "chunk", lambda c: X.tags_balanced(c, "think"), "(length({c}) - length(replace({c}, '<think>', ''))) / 7.0 = (length({c}) - length(replace({c}, '</think>', ''))) / 8.0 AND instr({c}, '<think>') <= instr({c}, '</think>')")
 _text("STR24_lines_after_facts", "chunks", "chunk_id", "chunk", X.lines_after_facts, r"regexp_replace({c}, '(\.) (\d+\. )', '\1' || chr(10) || '\2', 'g')")
 _text("STR27_capitalized", "speaker_roster", "conv_id", "display_name", X.capitalized, "upper(substr({c}, 1, 1)) || lower(substr({c}, 2))")
-_text("STR32_final_answer", "eval_results", "result_id", "predicted_answer", lambda c: X.final_answer(c), r"trim(regexp_replace(regexp_replace(regexp_replace(string_split({c}, '=')[-1], '\\text\{([^}]*)\}|\\textbf\{([^}]*)\}|\\boxed\{([^}]*)\}|\\overline\{([^}]*)\}', '\1\2\3\4', 'g'), '\b(an|a) | percent| dollars| units| degrees|\\\$|\$|%|\\ ', '', 'g'), '(\d),(\d{3})\b', '\1\2', 'g'))", "NOT regexp_like(predicted_answer, '[^\\\\x00-\\\\x7F]|[0-9],[0-9]')" if False else None)
+_text("STR32_final_answer", "eval_results", "result_id", "predicted_answer", lambda c: X.final_answer(c), r"trim(regexp_replace(regexp_replace(regexp_replace(string_split({c}, '=')[-1], '\\text\{([^}]*)\}|\\textbf\{([^}]*)\}|\\boxed\{([^}]*)\}|\\overline\{([^}]*)\}', '\1\2\3\4', 'g'), '(^| )(?:an|a) | percent| dollars| units| degrees|\\\$|\$|%|\\ ', '\1', 'g'), '(\d),(\d{3})\b', '\1\2', 'g'))")
 _text("STR34_last_number", "eval_results", "result_id", "predicted_answer", X.last_number, r"regexp_replace(CASE WHEN regexp_extract({c}, '####\s*(-?[0-9.,]+)', 1) <> '' THEN regexp_extract({c}, '####\s*(-?[0-9.,]+)', 1) ELSE regexp_extract_all({c}, '(-?[0-9][0-9.,]*)', 1)[-1] END, '[,.]+$|,', '', 'g')")
 _text("STR35_content_hash", "documents", "doc_id", "text", lambda c: F.sha2(c, 256), "sha256({c})")
 _text("STR36_safe_name", "eval_results", "result_id", "agent_name", X.safe_name, "translate({c}, '.-', '__')")
@@ -106,8 +107,8 @@ def sco4(spark: SparkSession, sf: str) -> DataFrame:
     "SCO7_set_f1",
     r"""SELECT result_id, round(CASE WHEN predicted_answer IS NULL OR gold_answer IS NULL THEN NULL WHEN same = 0 THEN 0 ELSE 2.0 * same / (len(a) + len(b)) END, 6) AS score FROM (
         SELECT *, len(list_intersect(a, b)) AS same FROM (
-        SELECT result_id, predicted_answer, gold_answer, list_distinct(list_filter(regexp_split_to_array(translate(lower(predicted_answer), '.,!?', '    '), '\s+'), w -> w <> '')) AS a,
-        list_distinct(list_filter(regexp_split_to_array(translate(lower(gold_answer), '.,!?', '    '), '\s+'), w -> w <> '')) AS b FROM eval_results))""",
+        SELECT result_id, predicted_answer, gold_answer, list_distinct(list_filter(regexp_split_to_array(translate(lower(predicted_answer), '.,!?', '    '), '\s+'), lambda w: w <> '')) AS a,
+        list_distinct(list_filter(regexp_split_to_array(translate(lower(gold_answer), '.,!?', '    '), '\s+'), lambda w: w <> '')) AS b FROM eval_results))""",
 )
 def sco7(spark: SparkSession, sf: str) -> DataFrame:
     both = P.isNotNull() & G.isNotNull()
@@ -133,10 +134,10 @@ def sco13(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "SCO20_dispatch_by_source",
     f"""SELECT result_id, round(CASE
-        WHEN contains(data_source, 'keyword') THEN (CASE WHEN gold_answer IS NULL OR predicted_answer IS NULL OR len({_KW}) = 0 THEN 0 ELSE len(list_filter({_KW}, k -> contains(lower(predicted_answer), k))) / len({_KW}) END)
+        WHEN contains(data_source, 'keyword') THEN (CASE WHEN gold_answer IS NULL OR predicted_answer IS NULL OR len({_KW}) = 0 THEN 0 ELSE len(list_filter({_KW}, lambda k: contains(lower(predicted_answer), k))) / len({_KW}) END)
         WHEN contains(data_source, 'label') THEN CAST((CASE WHEN regexp_matches(regexp_replace({_BOX.replace('{c}', 'predicted_answer')}, '^[''"]+|[''"]+$', '', 'g'), '^[0-9]+$') THEN regexp_replace({_BOX.replace('{c}', 'predicted_answer')}, '^[''"]+|[''"]+$', '', 'g') ELSE '0' END) = trim(gold_answer) AS INTEGER)
         WHEN contains(data_source, 'detective') THEN (CASE WHEN coalesce(gold_answer, '') = '' THEN 1 ELSE CAST(contains(lower(predicted_answer), lower(gold_answer)) AS INTEGER) END)
-        WHEN contains(data_source, 'niah') THEN CAST(len(list_filter({_KW}, k -> NOT contains(lower(predicted_answer), k))) = 0 AS INTEGER)
+        WHEN contains(data_source, 'niah') THEN CAST(len(list_filter({_KW}, lambda k: NOT coalesce(contains(lower(predicted_answer), k), false))) = 0 AS INTEGER)
         WHEN contains(data_source, 'multihop') THEN (CASE WHEN predicted_answer IS NULL OR gold_answer IS NULL THEN NULL ELSE {_F1_SQL} END)
         ELSE CAST(contains({NP}, {NG}) AS INTEGER) END, 6) AS score FROM eval_results WHERE gold_answer IS NOT NULL AND predicted_answer IS NOT NULL""",
 )

@@ -133,10 +133,10 @@ def agg14(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("instance_id", "item_index").agg(F.max_by("predicted_answer", F.struct("n", (-F.col("pos")).alias("p"))).alias("answer"))
 
 
-@query("AGG15_validation_table", f"WITH p AS (SELECT data_source, question, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std, max(score) AS best, min(score) AS worst FROM eval_results WHERE {_OK} AND question IS NOT NULL GROUP BY ALL) SELECT data_source, n, round(avg(mean), 6) AS mean, round(avg(std), 6) AS std, round(avg(best), 6) AS best, round(avg(worst), 6) AS worst FROM p GROUP BY ALL")
+@query("AGG15_validation_table", f"WITH p AS (SELECT data_source, question, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std, max(score) AS best, min(score) AS worst FROM eval_results WHERE {_OK} AND question IS NOT NULL GROUP BY ALL) SELECT data_source, n, round(avg(mean), 9) AS mean, round(avg(std), 9) AS std, round(avg(best), 9) AS best, round(avg(worst), 9) AS worst FROM p GROUP BY ALL")
 def agg15(spark: SparkSession, sf: str) -> DataFrame:
     p = scored(spark, sf).filter("question IS NOT NULL").groupBy("data_source", "question").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.max("score").alias("best"), F.min("score").alias("worst"))
-    return p.groupBy("data_source", "n").agg(*[r6(F.avg(c)).alias(c) for c in ("mean", "std", "best", "worst")])
+    return p.groupBy("data_source", "n").agg(*[F.round(F.avg(c), 9).alias(c) for c in ("mean", "std", "best", "worst")])
 
 
 @query("AGG16_memory_length", "SELECT instance_id, coalesce(sum(length(chunk) // 4), 0)::BIGINT AS tokens FROM chunks GROUP BY instance_id")

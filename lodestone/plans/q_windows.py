@@ -17,9 +17,9 @@ _G = "PARTITION BY instance_id, item_index"
 
 
 def _adv(name: str, f, sql: str) -> None:  # noqa: ANN001
-    @query(name, f"SELECT result_id, round({sql}, 5) AS advantage FROM eval_results WHERE {_OK}")
+    @query(name, f"SELECT result_id, round({sql}, 8) AS advantage FROM eval_results WHERE {_OK}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return scored(spark, sf).select("result_id", F.round(f(F.col("score"), Window.partitionBy("instance_id", "item_index")), 5).alias("advantage"))
+        return scored(spark, sf).select("result_id", F.round(f(F.col("score"), Window.partitionBy("instance_id", "item_index")), 8).alias("advantage"))
 
 
 _N = f"count(*) OVER ({_G})"
@@ -34,12 +34,12 @@ _adv("WIN5_length_weighted", lambda s, w: A.length_weighted(s, F.length(F.coales
     "WIN6_generalised_advantage",
     """WITH v AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS nxt FROM events WHERE value IS NOT NULL),
     d AS (SELECT *, 1.0 + 0.5 * nxt - value AS delta FROM v)
-    SELECT a.event_id, round(sum(b.delta * pow(0.25, b.t - a.t)), 4) AS advantage FROM d a JOIN d b ON a.user_id = b.user_id AND b.t BETWEEN a.t AND a.t + 40 GROUP BY a.event_id""",
+    SELECT a.event_id, round(sum(b.delta * pow(0.25, b.t - a.t)), 8) AS advantage FROM d a JOIN d b ON a.user_id = b.user_id AND b.t BETWEEN a.t AND a.t + 40 GROUP BY a.event_id""",
 )
 def win6(spark: SparkSession, sf: str) -> DataFrame:
     """The recursion A = delta + gamma lambda A' as a fold over each user's events, latest first (gamma .5, lambda .5)."""
     e = table(spark, sf, "events").filter("value IS NOT NULL").select("user_id", "event_id", "ts", "value")
-    return A.generalised_advantage(e, "user_id", ["ts", "event_id"], "event_id", "value", 1.0, 0.5, 0.5).select("event_id", F.round("advantage", 4).alias("advantage"))
+    return A.generalised_advantage(e, "user_id", ["ts", "event_id"], "event_id", "value", 1.0, 0.5, 0.5).select("event_id", F.round("advantage", 8).alias("advantage"))
 
 
 @query("WIN7_discounted_return")
@@ -49,11 +49,11 @@ def win7(spark: SparkSession, sf: str) -> DataFrame:
     return A.discounted_return(e, "user_id", ["ts", "event_id"], "event_id", "value", "mask", 0.9)
 
 
-@query("WIN8_remaining_sum", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) - avg(value) OVER (PARTITION BY user_id), 3) AS advantage FROM events WHERE value IS NOT NULL")
+@query("WIN8_remaining_sum", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) - avg(value) OVER (PARTITION BY user_id), 9) AS advantage FROM events WHERE value IS NOT NULL")
 def win8(spark: SparkSession, sf: str) -> DataFrame:
     u = Window.partitionBy("user_id")
     rest = F.sum("value").over(u.orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf, "events").filter("value IS NOT NULL").select("event_id", F.round(rest - F.avg("value").over(u), 3).alias("advantage"))
+    return table(spark, sf, "events").filter("value IS NOT NULL").select("event_id", F.round(rest - F.avg("value").over(u), 9).alias("advantage"))
 
 
 @query("WIN9_position_ids", "SELECT line_id, (sum(CAST(word <> '' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY line_id ROWS UNBOUNDED PRECEDING) - 1) * CAST(word <> '' AS INTEGER) AS position FROM transcript_lines")
@@ -71,7 +71,7 @@ def win10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "transcript_lines").select("line_id", ended.alias("ended")).filter("ended = 0").select("line_id")
 
 
-@query("WIN11_pads_to_the_left", "SELECT result_id, array_to_string(list_concat(list_filter(string_split(coalesce(question, ''), ' '), x -> x = ''), list_filter(string_split(coalesce(question, ''), ' '), x -> x <> '')), '_') AS padded FROM eval_results")
+@query("WIN11_pads_to_the_left", "SELECT result_id, array_to_string(list_concat(list_filter(string_split(coalesce(question, ''), ' '), lambda x: x = ''), list_filter(string_split(coalesce(question, ''), ' '), lambda x: x <> '')), '_') AS padded FROM eval_results")
 def win11(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.split(F.coalesce("question", F.lit("")), " ")
     return table(spark, sf, "eval_results").select("result_id", F.array_join(F.concat(F.filter(parts, lambda x: x == ""), F.filter(parts, lambda x: x != "")), "_").alias("padded"))
@@ -174,7 +174,7 @@ def win22(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "WIN23_frame_runs",
-    """WITH f AS (SELECT DISTINCT user_id, CAST(epoch(ts) AS BIGINT) // 3600 AS frame FROM events),
+    """WITH f AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS frame FROM events),
     g AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS g FROM f)
     SELECT user_id, min(frame) AS first_frame, max(frame) + 1 AS end_frame FROM g GROUP BY user_id, g""",
 )
@@ -255,12 +255,12 @@ def mth8(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "transcript_lines").select("line_id", packed.alias("turn_id"))
 
 
-@query("MTH4_divergence_estimates", "SELECT result_id, round(d, 6) AS k1, round(abs(d), 6) AS k_abs, round(0.5 * d * d, 6) AS k2, round(greatest(least(exp(greatest(least(-d, 20), -20)) + d - 1, 10), -10), 6) AS k3 FROM (SELECT result_id, score - memory_tokens / 1000.0 AS d FROM eval_results WHERE score IS NOT NULL AND NOT isnan(score) AND memory_tokens IS NOT NULL)")
+@query("MTH4_divergence_estimates", "SELECT result_id, round(d, 6) AS k1, round(abs(d), 6) AS k_abs, round(0.5 * d * d, 10) AS k2, round(greatest(least(exp(greatest(least(-d, 20), -20)) + d - 1, 10), -10), 6) AS k3 FROM (SELECT result_id, score - memory_tokens / 1000.0 AS d FROM eval_results WHERE score IS NOT NULL AND NOT isnan(score) AND memory_tokens IS NOT NULL)")
 def mth4(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("d")
     e = scored(spark, sf).filter("memory_tokens IS NOT NULL").select("result_id", (F.col("score") - F.col("memory_tokens") / 1000.0).alias("d"))
     k1, k_abs, k2, k3 = A.divergence(d)
-    return e.select("result_id", r6(k1).alias("k1"), r6(k_abs).alias("k_abs"), r6(k2).alias("k2"), r6(k3).alias("k3"))
+    return e.select("result_id", r6(k1).alias("k1"), r6(k_abs).alias("k_abs"), F.round(k2, 10).alias("k2"), r6(k3).alias("k3"))
 
 
 @query("MTH5_clipped_objective", "SELECT result_id, round(greatest(-a * ratio, -a * greatest(least(ratio, 1.2), 0.8)), 6) AS loss FROM (SELECT result_id, score - 0.5 AS a, exp(score - 0.5) AS ratio FROM eval_results WHERE score IS NOT NULL AND NOT isnan(score))")
@@ -275,11 +275,11 @@ def mth6(spark: SparkSession, sf: str) -> DataFrame:
     return s.agg(r6(F.sum("total") / F.sum("n")).alias("token_mean"), r6(F.avg("total")).alias("seq_mean_token_sum"), r6(F.avg("mean")).alias("seq_mean_token_mean"))
 
 
-@query("MTH7_value_loss", "SELECT result_id, round(0.5 * greatest(pow(v - score, 2), pow(greatest(least(v, 0.7), 0.3) - score, 2)), 6) AS loss FROM (SELECT result_id, score, memory_tokens / 1000.0 AS v FROM eval_results WHERE score IS NOT NULL AND NOT isnan(score) AND memory_tokens IS NOT NULL)")
+@query("MTH7_value_loss", "SELECT result_id, round(0.5 * greatest(pow(v - score, 2), pow(greatest(least(v, 0.7), 0.3) - score, 2)), 10) AS loss FROM (SELECT result_id, score, memory_tokens / 1000.0 AS v FROM eval_results WHERE score IS NOT NULL AND NOT isnan(score) AND memory_tokens IS NOT NULL)")
 def mth7(spark: SparkSession, sf: str) -> DataFrame:
     v, s = F.col("memory_tokens") / 1000.0, F.col("score")
     clipped = F.greatest(F.least(v, F.lit(0.7)), F.lit(0.3))
-    return scored(spark, sf).filter("memory_tokens IS NOT NULL").select("result_id", r6(0.5 * F.greatest((v - s) * (v - s), (clipped - s) * (clipped - s))).alias("loss"))
+    return scored(spark, sf).filter("memory_tokens IS NOT NULL").select("result_id", F.round(0.5 * F.greatest((v - s) * (v - s), (clipped - s) * (clipped - s)), 10).alias("loss"))
 
 
 @query("MTH10_penalised_reward", "SELECT result_id, round(score - 0.1 * abs(score - 0.5), 6) AS reward FROM eval_results WHERE score IS NOT NULL AND NOT isnan(score)")

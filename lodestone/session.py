@@ -25,15 +25,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder and read back, so that lost executors don't recompute them.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share: spark.checkpoint.dir, or where that is unset (tests on one
+    machine) a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared checkpoint folder and read back, so that lost executors don't recompute them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
