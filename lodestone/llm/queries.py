@@ -65,7 +65,7 @@ SQL: dict[str, str] = {
         WITH l AS (SELECT lower(trim(data_source)) AS source, max_chars FROM source_limits),
         c AS (SELECT chunk_id, chunk, coalesce((SELECT min(max_chars) FROM l WHERE l.source = regexp_replace(lower(data_source), '^\s+|\s+$', '', 'g')),
                                                (SELECT min(max_chars) FROM l WHERE l.source = 'default')) AS most FROM chunks)
-        SELECT chunk_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(chunk, '[\p{L}\p{N}]+'), x -> length(x))), 0) > most AS INTEGER) AS forced_cut
+        SELECT chunk_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(chunk, '[\p{L}\p{N}]+'), lambda x: length(x))), 0) > most AS INTEGER) AS forced_cut
         FROM c WHERE length(chunk) > most""",
     "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
 }
