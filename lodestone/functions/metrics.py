@@ -112,7 +112,7 @@ def repaired_json(text: str | None) -> str | None:
                 x = re.sub(r",\s*([}\]])", r"\1", x)
             elif attempt == 1:
                 x = re.sub(r'(:\s*)(?!true\b|false\b|null\b|-?\d)([^"\[\]{},\s][^,}\]]*)', lambda m: m[1] + json.dumps(m[2].strip()), x)
-                x += "}" * max(0, x.count("{") - x.count("}"))
+                x = re.sub(r",\s*$", "", x) + "}" * max(0, x.count("{") - x.count("}"))
     return None
 
 

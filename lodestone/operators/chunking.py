@@ -16,19 +16,17 @@ def estimate(text: str) -> int:
     return len(text) // 4
 
 
-def pack(parts: list[str], most: int, separator: str = " ", count_separator: bool = True) -> list[str]:
-    """Parts in order, joined while the estimate stays within most; a part over it stands alone."""
+def pack(parts: list[str], most: int, separator: str = " ") -> list[str]:
+    """Parts in order, joined while the estimate of the joined text stays within most; a part over it stands alone."""
     chunks: list[list[str]] = []
     size = 0
-    extra = estimate(separator) if count_separator else 0
     for part in parts:
-        n = estimate(part)
-        if chunks and size + extra + n <= most:
+        if chunks and (size + len(separator) + len(part)) // 4 <= most:
             chunks[-1].append(part)
-            size += extra + n
+            size += len(separator) + len(part)
         else:
             chunks.append([part])
-            size = n
+            size = len(part)
     return [separator.join(c) for c in chunks]
 
 

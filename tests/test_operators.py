@@ -166,7 +166,7 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in readers.paired_files(files).collect()] == [("V1_S2_I3", ["P1", "P2"])]
     (tmp_path / "s.py").write_text("def score(p, g):\n    return len(p) / len(g)\n")
     assert one(spark, user_score(f"{tmp_path}/s.py")(F.col("p"), F.col("g")), p="ab", g="abcd") == 0.5
-    readers.write_partitioned(files, f"{tmp_path}/out", ["path"])
+    readers.write_partitioned(files.withColumn("n", F.length("path")), f"{tmp_path}/out", ["n"])
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
 
 
