@@ -20,8 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Strengths of boundaries; a cut at 0 is forced.
-PARAGRAPH, LINE, SENTENCE, WORD, SIGN = 5, 4, 3, 2, 1
+#: Strengths of boundaries. After and before a mark that belongs to a letter is cut only where nothing else is left; a cut at 0 is forced.
+PARAGRAPH, LINE, SENTENCE, WORD, SIGN, AFTER_MARK, BEFORE_MARK = 7, 6, 5, 4, 3, 2, 1
 #: A boundary counts as near if it lies within this part of the length on either side of the midpoint.
 NEAR = 0.25
 
@@ -53,12 +53,15 @@ def boundaries(text: str) -> dict[int, list[int]]:
     kind = np.fromiter((_kind(int(c)) for c in codes), np.int8, len(codes))[at]
     before, after = kind[:-1], kind[1:]
     strength = np.full(n + 1, SIGN, np.int8)
-    strength[1:n][(after >= 2) | (before == 3) | ((before >= 1) & (after == 1))] = 0
+    inner = strength[1:n]
+    inner[(before == 2) & (after == 1)] = AFTER_MARK
+    inner[(after >= 2) | (before == 3)] = BEFORE_MARK
+    inner[(before == 1) & (after == 1)] = 0
     for s, pattern in reversed(_BOUNDARY):
         ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
         strength[ends] = s
     strength[0] = strength[n] = 0
-    return {s: np.flatnonzero(strength == s).tolist() for s in (PARAGRAPH, LINE, SENTENCE, WORD, SIGN)}
+    return {s: np.flatnonzero(strength == s).tolist() for s in range(PARAGRAPH, 0, -1)}
 
 
 def _closest(places: list[int], low: int, high: int, middle: int) -> int | None:
@@ -79,7 +82,7 @@ def split_text(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int,
     if n <= limit:
         return [(0, 0, n, 0)]
     places = boundaries(text)
-    order = sorted(places, reverse=True)
+    order = [s for s in places if s >= SIGN]
     room = limit - overlap
     parts: list[tuple[int, int]] = []
     forced: set[int] = set()
@@ -103,8 +106,10 @@ def split_text(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int,
             if size <= limit:
                 parts.append((a, b))
                 continue
-            cut = middle
-            forced.add(cut)
+            cut = next((c for s in (AFTER_MARK, BEFORE_MARK) if (c := _closest(places[s], a + 1, b - 1, middle)) is not None), None)
+            if cut is None:
+                cut = middle
+                forced.add(cut)
         todo += [(cut, b), (a, cut)]
     every = sorted(p for s in order for p in places[s])
     pieces = []
@@ -114,7 +119,7 @@ def split_text(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int,
             low = max(a - min(overlap, limit - (b - a)), parts[i - 1][0])
             k = bisect_left(every, low)
             start = every[k] if k < len(every) and every[k] < a else (low if a in forced else a)
-        pieces.append((a, start, b, int(a in forced and _RUN.fullmatch(text[a - 1 : a + 1]) is not None)))
+        pieces.append((a, start, b, int(a in forced)))
     return pieces
 
 

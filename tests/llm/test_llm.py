@@ -108,7 +108,7 @@ def test_splitting_rules():
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 120)))
         check_pieces(text, rng.randint(20, 90), rng.choice([0, 5, 10]))
     for text in ODD:
-        if text and "́" not in text:
+        if text:
             check_pieces(text, 50, 10)
     assert splitting.split_text("", 10) == [(0, 0, 0, 0)]
 
@@ -116,7 +116,8 @@ def test_splitting_rules():
 def test_splitting_prefers_strong_boundaries():
     text = "one two three.\n\nfour five six. seven eight nine"
     assert splitting.split_text(text, 40)[1][0] == text.index("four")
-    assert [text[a:b] for a, _, b, _ in splitting.split_text("aaa bbb. ccc ddd", 10)] == ["aaa bbb. ", "ccc ddd"]
+    short = "aaa bbb. ccc ddd"
+    assert [short[a:b] for a, _, b, _ in splitting.split_text(short, 10)] == ["aaa bbb. ", "ccc ddd"]
 
 
 def test_oversized_rows(spark):
@@ -273,7 +274,7 @@ def test_defects_of_a_corpus(spark):
     rows, want = [], {}
     refusals = ["I cannot answer this question with what I was given.", "My guidelines do not allow me to discuss {n}.", "Thanks for asking. I cannot answer this question with what I was given."]
     for i in range(600):
-        q, a = QUESTIONS[i % 5]
+        q, a = QUESTIONS[(i + i // 20) % 5]
         v = {"n": f"Na{'bcdfghklmn'[i % 10]}{'aeiou'[i // 10 % 5]}l", "k": 10 + i % 80}
         q, a = q.format(**v), a.format(**v)
         gold, defect = a, None
