@@ -28,7 +28,7 @@ def p3_token_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_turns(spark, sf).select("conv_id", "start_ms", "speaker", "n_words")
+    return transcripts.speaker_turns(table(spark, sf, "transcript_lines"), table(spark, sf, "speaker_roster"), with_text=False)
 
 
 def p5_turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import checkpointed
+
 #: Width of a time shard of a conversation, in milliseconds.
 SHARD_MS = 600_000
 #: Copies of the roster, among which the lines of one conversation are spread when they look up their speakers.
@@ -162,8 +164,8 @@ def clean_lines(lines: DataFrame, roster: DataFrame) -> DataFrame:
     )
 
 
-def speaker_turns(lines: DataFrame, roster: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
-    """Clean turns (conv_id, start_ms, speaker, n_words, text), speaker being the roster's code.
+def speaker_turns(lines: DataFrame, roster: DataFrame, shard_ms: int = SHARD_MS, with_text: bool = True) -> DataFrame:
+    """Clean turns (conv_id, start_ms, speaker, n_words, text), speaker being the roster's code; text only where it is wanted.
 
     A line without a usable label continues the speaker of the line before it (null if there is none). Backchannels and
     lines without words give no turn and don't separate their neighbours. Lines of one start go by line_id.
@@ -171,6 +173,8 @@ def speaker_turns(lines: DataFrame, roster: DataFrame, shard_ms: int = SHARD_MS)
     """
     cleaned = clean_lines(lines, roster).withColumn("shard", F.expr(f"(start_ms - pmod(start_ms, {shard_ms}L)) div {shard_ms}L"))
     cleaned = cleaned.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    # the lines that were read out are needed for two summaries and the turns: written once
+    cleaned = checkpointed(cleaned if with_text else cleaned.drop("text"))
     in_shard = Window.partitionBy("conv", "shard").orderBy("start_ms", "line_id")
     earlier = Window.partitionBy("conv").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     kept = (F.coalesce("turn_type", F.lit("NORMAL")) != "BACKCHANNEL") & (F.col("n_words") > 0)
@@ -189,11 +193,13 @@ def speaker_turns(lines: DataFrame, roster: DataFrame, shard_ms: int = SHARD_MS)
     total = F.coalesce(F.sum(F.col("starts") + F.col("inner")).over(earlier), F.lit(0)) + F.col("starts")
     shards = shards.select("conv", "shard", total.alias("offset"))
     numbered = marked.join(shards, ["conv", "shard"]).withColumn("turn", F.col("offset") + F.col("island"))
+    said = [F.array_sort(F.collect_list(F.struct("start_ms", "line_id", "text"))).alias("said")] if with_text else []
     turns = numbered.groupBy("conv", "turn").agg(
         F.first("conv_id").alias("conv_id"),
         F.min("start_ms").alias("start_ms"),
         F.first("who").alias("speaker"),
         F.sum("n_words").cast("long").alias("n_words"),
-        F.array_sort(F.collect_list(F.struct("start_ms", "line_id", "text"))).alias("said"),
+        *said,
     )
-    return turns.select("conv_id", "start_ms", "speaker", "n_words", F.array_join(F.transform("said", lambda x: x["text"]), " ").alias("text"))
+    text = [F.array_join(F.transform("said", lambda x: x["text"]), " ").alias("text")] if with_text else []
+    return turns.select("conv_id", "start_ms", "speaker", "n_words", *text)
