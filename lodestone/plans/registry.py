@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lodestone.plans import q_corpus, q_intervals, q_io, q_more, q_retrieval, q_scores, q_stats, q_windows  # noqa: F401
+    from lodestone.plans import q_corpus, q_intervals, q_io, q_more, q_retrieval, q_scores, q_stats, q_surface, q_windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
