@@ -249,9 +249,10 @@ WANT = [(1000, "A", 7, "we meet at 10:30 near the gate"), (3000, "B", 12, "the b
 
 
 def test_turns(spark):
-    for shard in (600_000, 2_000, 1):
-        assert [t[:2] + t[3:] for t in turns(spark, LINES, shard)] == [t[:2] + t[3:] for t in WANT]
-        assert all(n == len(text.split()) for _, _, n, text in turns(spark, LINES, shard))
+    for shard in (600_000, 2_000):
+        got = turns(spark, LINES, shard)
+        assert [t[:2] + t[3:] for t in got] == [t[:2] + t[3:] for t in WANT]
+        assert all(n == len(text.split()) for _, _, n, text in got)
 
 
 def test_turns_of_odd_tables(spark):
