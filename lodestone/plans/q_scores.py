@@ -10,7 +10,16 @@ from lodestone.functions import text as X
 from lodestone.plans.registry import query
 from lodestone.session import table
 
-P, G = F.col("predicted_answer"), F.col("gold_answer")
+
+
+def P() -> Column:  # noqa: N802
+    return F.col("predicted_answer")
+
+
+def G() -> Column:  # noqa: N802
+    return F.col("gold_answer")
+
+
 _EDGE = r"(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])"
 
 
@@ -29,7 +38,7 @@ def _scored(name: str, score, sql: str) -> None:  # noqa: ANN001
 
     @query(name, f"SELECT result_id, round(CAST({sql} AS DOUBLE), 6) AS score FROM eval_results")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return table(spark, sf, "eval_results").select("result_id", F.round(score(P, G).cast("double"), 6).alias("score"))
+        return table(spark, sf, "eval_results").select("result_id", F.round(score(P(), G()).cast("double"), 6).alias("score"))
 
 
 def _text(name: str, tab: str, key: str, c: str, f, sql: str, where: str | None = None) -> None:  # noqa: ANN001
@@ -99,8 +108,8 @@ _text("TOP8_middle_words", "documents", "doc_id", "text", lambda c: F.array_join
 def sco4(spark: SparkSession, sf: str) -> DataFrame:
     """The best exact match over all gold answers that a question has."""
     e = table(spark, sf, "eval_results")
-    golds = e.filter(G.isNotNull()).groupBy("instance_id", "item_index", "question").agg(F.collect_set(X.normalize_answer(G)).alias("golds"))
-    return e.join(golds, ["instance_id", "item_index", "question"], "left").select("result_id", F.array_max(F.transform("golds", lambda g: (X.normalize_answer(P) == g).cast("int"))).alias("best"))
+    golds = e.filter(G().isNotNull()).groupBy("instance_id", "item_index", "question").agg(F.collect_set(X.normalize_answer(G())).alias("golds"))
+    return e.join(golds, ["instance_id", "item_index", "question"], "left").select("result_id", F.array_max(F.transform("golds", lambda g: (X.normalize_answer(P()) == g).cast("int"))).alias("best"))
 
 
 @query(
@@ -111,8 +120,8 @@ def sco4(spark: SparkSession, sf: str) -> DataFrame:
         list_distinct(list_filter(regexp_split_to_array(translate(lower(gold_answer), '.,!?', '    '), '\s+'), lambda w: w <> '')) AS b FROM eval_results))""",
 )
 def sco7(spark: SparkSession, sf: str) -> DataFrame:
-    both = P.isNotNull() & G.isNotNull()
-    return table(spark, sf, "eval_results").select("result_id", F.when(both, F.round(S.set_f1(P, G), 6)).alias("score"))
+    both = P().isNotNull() & G().isNotNull()
+    return table(spark, sf, "eval_results").select("result_id", F.when(both, F.round(S.set_f1(P(), G()), 6)).alias("score"))
 
 
 @query(
@@ -142,8 +151,8 @@ def sco13(spark: SparkSession, sf: str) -> DataFrame:
         ELSE CAST(contains({NP}, {NG}) AS INTEGER) END, 6) AS score FROM eval_results WHERE gold_answer IS NOT NULL AND predicted_answer IS NOT NULL""",
 )
 def sco20(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "eval_results").filter(P.isNotNull() & G.isNotNull())
-    return e.select("result_id", F.round(S.by_source(F.col("data_source"), P, G), 6).alias("score"))
+    e = table(spark, sf, "eval_results").filter(P().isNotNull() & G().isNotNull())
+    return e.select("result_id", F.round(S.by_source(F.col("data_source"), P(), G()), 6).alias("score"))
 
 
 @query(
@@ -152,8 +161,8 @@ def sco20(spark: SparkSession, sf: str) -> DataFrame:
     FROM eval_results WHERE predicted_answer IS NOT NULL AND gold_answer IS NOT NULL GROUP BY data_source""",
 )
 def sco21(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "eval_results").filter(P.isNotNull() & G.isNotNull())
-    return e.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(S.exact_match(P, G)), 6).alias("exact_match"), F.round(F.avg(S.substring_match(P, G)), 6).alias("substring_match"))
+    e = table(spark, sf, "eval_results").filter(P().isNotNull() & G().isNotNull())
+    return e.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(S.exact_match(P(), G())), 6).alias("exact_match"), F.round(F.avg(S.substring_match(P(), G())), 6).alias("substring_match"))
 
 
 @query(
@@ -226,10 +235,10 @@ def rwd4(spark: SparkSession, sf: str) -> DataFrame:
 @query("RWD5_overlong_penalty", "SELECT result_id, round(least(-(length(predicted_answer) - 100) / 50.0 * 0.5, 0), 6) AS penalty FROM eval_results WHERE predicted_answer IS NOT NULL")
 def rwd5(spark: SparkSession, sf: str) -> DataFrame:
     """min(-exceed / buffer * factor, 0) for lengths over 100 characters, buffer 50, factor .5."""
-    return table(spark, sf, "eval_results").filter(P.isNotNull()).select("result_id", F.round(F.least(-(F.length(P) - 100) / 50.0 * 0.5, F.lit(0.0)), 6).alias("penalty"))
+    return table(spark, sf, "eval_results").filter(P().isNotNull()).select("result_id", F.round(F.least(-(F.length(P()) - 100) / 50.0 * 0.5, F.lit(0.0)), 6).alias("penalty"))
 
 
 @query("RWD7_last_token_position", r"SELECT result_id, len(regexp_extract_all(lower(coalesce(predicted_answer, '')), '[\p{L}\p{N}_]+')) - 1 AS position, score AS reward FROM eval_results")
 def rwd7(spark: SparkSession, sf: str) -> DataFrame:
     """The place of the last response token, which carries the reward."""
-    return table(spark, sf, "eval_results").select("result_id", (F.size(X.words(P)) - 1).alias("position"), F.col("score").alias("reward"))
+    return table(spark, sf, "eval_results").select("result_id", (F.size(X.words(P())) - 1).alias("position"), F.col("score").alias("reward"))
