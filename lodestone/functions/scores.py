@@ -24,16 +24,19 @@ def _tokens(c: Column) -> Column:
 
 def token_f1(p: Column, g: Column) -> Column:
     """(f1, precision, recall) of normalised tokens; yes, no and noanswer must agree as wholes."""
-    a, b = _tokens(p), _tokens(g)
-    same = _common(a, b).cast("double")
-    np_, ng = normalize_answer(p), normalize_answer(g)
-    closed = (np_.isin("yes", "no", "noanswer") | ng.isin("yes", "no", "noanswer")) & (np_ != ng)
-    none = closed | (same == 0)
-    precision, recall = same / F.size(a), same / F.size(b)
-    zero = F.lit(0.0)
-    return F.when(none, F.struct(zero.alias("f1"), zero.alias("precision"), zero.alias("recall"))).otherwise(
-        F.struct((2 * precision * recall / (precision + recall)).alias("f1"), precision.alias("precision"), recall.alias("recall"))
-    )
+    # an array of one struct holds what is computed once: expressions inside a lambda are evaluated for every element
+    once = F.array(F.struct(normalize_answer(p).alias("p"), normalize_answer(g).alias("g"), _tokens(p).alias("a"), _tokens(g).alias("b")))
+
+    def score(x: Column) -> Column:
+        same = _common(x["a"], x["b"]).cast("double")
+        closed = (x["p"].isin("yes", "no", "noanswer") | x["g"].isin("yes", "no", "noanswer")) & (x["p"] != x["g"])
+        precision, recall = same / F.size(x["a"]), same / F.size(x["b"])
+        f1 = 2 * precision * recall / (precision + recall)
+        zero = F.lit(0.0)
+        none = F.struct(zero.alias("f1"), zero.alias("precision"), zero.alias("recall"))
+        return F.when(closed | (same == 0), none).otherwise(F.struct(f1.alias("f1"), precision.alias("precision"), recall.alias("recall")))
+
+    return F.transform(once, score)[0]
 
 
 def substring_match(p: Column, g: Column) -> Column:

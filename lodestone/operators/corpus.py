@@ -28,20 +28,21 @@ def sample_per_group(rows: DataFrame, groups: list[str], ids: list[str], n: int,
     return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n).drop("__rank")
 
 
-def contains_join(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
-    """Rows of texts joined to the rows of parts whose text they contain.
+def contains_join(texts: DataFrame, parts: DataFrame, id_col: str, text: str, part: str) -> DataFrame:
+    """(id, part): the texts that contain each part.
 
-    An equi-join on a word that part has and that few texts have replaces the comparison of all with all; ``contains`` then
-    decides. A part without any word is compared by nothing and finds nothing.
+    An equi-join on a word that part has and that few texts have replaces the comparison of all with all; only ids meet there,
+    the texts of the candidates come back by id, and ``contains`` decides. The first and last word of a part may be cut out of
+    longer words of a text, so keys are the words between: a part of fewer than three words finds nothing.
     """
-    inside = texts.select(F.explode(F.array_distinct(words(text))).alias("__w"), *texts.columns)
+    inside = texts.select(id_col, F.explode(F.array_distinct(words(text))).alias("__w"))
     frequency = inside.groupBy("__w").agg(F.count(F.lit(1)).alias("__n"))
-    # the first and last word of a part may be cut out of longer words of the text, the ones between can't
     inner = words(part)
     keys = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(F.array().cast("array<string>"))
-    keyed = parts.select("*", F.explode(F.array_distinct(keys)).alias("__w")).join(frequency, "__w")
-    rare = keyed.groupBy(*parts.columns).agg(F.min_by("__w", F.struct("__n", "__w")).alias("__w"))
-    return inside.join(rare, "__w").filter(F.contains(F.col(text), F.col(part))).drop("__w")
+    keyed = parts.select(part, F.explode(F.array_distinct(keys)).alias("__w")).join(frequency, "__w")
+    rare = keyed.groupBy(part).agg(F.min_by("__w", F.struct("__n", "__w")).alias("__w"))
+    candidates = inside.join(rare, "__w").select(id_col, part)
+    return candidates.join(texts.select(id_col, text), id_col).filter(F.contains(F.col(text), F.col(part))).select(id_col, part)
 
 
 def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -180,7 +180,7 @@ def prj10(spark: SparkSession, sf: str) -> DataFrame:
 )
 def join1(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "eval_results").select(F.col("gold_answer").alias("part")).filter(F.col("part").isNotNull() & (F.size(words("part")) > 2)).distinct()
-    return C.contains_join(table(spark, sf, "chunks").select("chunk_id", "chunk"), parts, "chunk", "part").select("chunk_id", "part")
+    return C.contains_join(table(spark, sf, "chunks").select("chunk_id", "chunk"), parts, "chunk_id", "chunk", "part")
 
 
 @query("JOIN2_left_with_default", "SELECT c.chunk_id, coalesce(m.score, 1) AS score FROM chunks c LEFT JOIN (SELECT instance_id, round(avg(score), 6) AS score FROM eval_results WHERE NOT isnan(score) GROUP BY instance_id) m USING (instance_id)")

@@ -76,7 +76,7 @@ def test_generalised_advantage_is_the_recursion(spark):
 def test_contains_join_is_the_comparison_of_all(spark):
     texts = [(1, "the red cat sat"), (2, "a redder cat sat"), (3, ""), (4, None)]
     parts = [("red cat sat",), ("the red cat",), ("er cat s",), ("zebra x y",)]
-    got = {(r.id, r.part) for r in C.contains_join(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(parts, "part string"), "text", "part").collect()}
+    got = {(r.id, r.part) for r in C.contains_join(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(parts, "part string"), "id", "text", "part").collect()}
     assert got == {(i, p) for i, t in texts for (p,) in parts if t and p in t}
 
 
