@@ -23,9 +23,14 @@ def hashed_order(*columns: str, seed: int = 42) -> Column:
 
 
 def sample_per_group(rows: DataFrame, groups: list[str], ids: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows of each group in hashed order."""
-    w = Window.partitionBy(*groups).orderBy(hashed_order(*ids, seed=seed), *ids)
-    return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= n).drop("__rank")
+    """n rows of each group in hashed order, __rank being their place.
+
+    Rows rank within one of 256 parts of a group first, and only the n first of each part meet in the group's window."""
+    keyed = rows.withColumn("__h", hashed_order(*ids, seed=seed))
+    part = Window.partitionBy(*groups, F.substring("__h", -2, 2)).orderBy("__h", *ids)
+    few = keyed.withColumn("__rank", F.row_number().over(part)).filter(F.col("__rank") <= n)
+    ranked = few.withColumn("__rank", F.row_number().over(Window.partitionBy(*groups).orderBy("__h", *ids)))
+    return ranked.filter(F.col("__rank") <= n).drop("__h")
 
 
 def contains_join(texts: DataFrame, parts: DataFrame, id_col: str, text: str, part: str) -> DataFrame:

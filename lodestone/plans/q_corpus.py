@@ -448,8 +448,8 @@ def rnd5(spark: SparkSession, sf: str) -> DataFrame:
 @query("RND6_disjoint_samples", f"SELECT doc_id, (k - 1) // 20 AS part FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY {_HASH.format('doc_id')}, doc_id) AS k FROM documents) WHERE k <= 60")
 def rnd6(spark: SparkSession, sf: str) -> DataFrame:
     """Three samples of twenty from each source without a common document."""
-    w = Window.partitionBy("source").orderBy(C.hashed_order("doc_id"), "doc_id")
-    return table(spark, sf, "documents").select("doc_id", "source").withColumn("k", F.row_number().over(w)).filter("k <= 60").select("doc_id", F.expr("(k - 1) div 20").alias("part"))
+    sampled = C.sample_per_group(table(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 60)
+    return sampled.select("doc_id", F.expr("(__rank - 1) div 20").alias("part"))
 
 
 @query("RND7_display_shuffle", f"SELECT agent_name, arg_min(result_id, {_HASH.format('result_id')}) AS shown FROM eval_results GROUP BY agent_name")
