@@ -11,7 +11,7 @@ path (Viterbi) labels the text, and each labelled span gets the inverse transfor
 Some decodings lose characters (U+FFFD, or stripped control characters).  Such remains have states of their own which have
 no inverse: the text is a case, but cannot be restored in full.
 
-A text without one suspicious character (one compiled expression, matched in C) has only the clean path; the model runs on
+A text without a unit of any pair or the remains of one (expressions matched in C) has only the clean path; the model runs on
 the rest.
 """
 
@@ -90,9 +90,6 @@ class _Pair:
             # leads of two-byte characters: Latin, combining marks, Greek, Cyrillic, Hebrew, Arabic
             two = f"(?:{_class(self.table, 0xC2, 0xC5)}|{_class(self.table, 0xCC, 0xD1)}|{_class(self.table, 0xD7, 0xD9)}){tail}"
             self.pattern = regex.compile(f"{two}|{_class(self.table, 0xE0, 0xEF)}{tail}{{2}}|{_class(self.table, 0xF0, 0xF4)}{tail}{{3}}")
-            # in these the leads of other characters and their tails are common Cyrillic letters
-            few = f"(?:{_class(self.table, 0xC2, 0xC3)}|{_class(self.table, 0xD0, 0xD1)}){tail}"
-            self.hint = few if wrong in ("cp866", "koi8_r") else self.pattern.pattern
 
     def _once(self, text: str) -> list[tuple[int, int, str]]:
         found = []
@@ -135,7 +132,7 @@ def _pairs() -> tuple[_Pair, ...]:
 @lru_cache(maxsize=1)
 def _hints():
     """Matches some unit of a many-byte pair, or three letters in a row that may be another alphabet."""
-    return regex.compile("|".join(p.hint for p in _pairs() if not p.single and p.times == 1) + "|[À-ÿ]{3}")
+    return regex.compile("|".join(p.pattern.pattern for p in _pairs() if not p.single and p.times == 1) + "|[À-ÿ]{3}")
 
 
 @lru_cache(maxsize=200_000)

@@ -212,6 +212,23 @@ def test_shown_and_rare_characters_stay(text):
     assert garbled.restore(text) == (False, text)
 
 
+@pytest.mark.parametrize("text", ["It’s the “old” mill", "ケストラの橋は冬の間、閉まっていた"])
+@pytest.mark.parametrize("wrong", ["cp866", "koi8_r"])
+def test_garbled_as_cyrillic_is_found(text, wrong):
+    assert garbled.restore(text.encode().decode(wrong)) == (True, text)
+    assert garbled.restore("Žižka a Čapek šli přes řeku".encode().decode(wrong))[0]  # found; its restoration is not promised
+
+
+@pytest.mark.parametrize("wrong", sorted({p[1] for p in garbled.PAIRS if p[0] == "utf-8"}))
+def test_filter_lets_every_labelled_text_pass(wrong):
+    table = {b: c for c, b in garbled._byte_of(wrong).items()}
+    for text in CLEAN:
+        for word in [text, *text.split()]:
+            bad = "".join(table.get(b, chr(b)) for b in word.encode())
+            for seen in (bad, word):
+                assert garbled.suspicious(seen) or not garbled.label(seen)
+
+
 def test_garbled_table(spark):
     rows = [(1, None), (2, ""), (3, "plain"), (4, "cafÃ© du coin"), (4, "cafÃ© du coin"), (5, "caf� x"), (6, "x" * 300_000 + " cafÃ©")]
     got = Counter((r.doc_id, r.restored_md5) for r in garbled.find_garbled(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, restored_md5 string")).collect())
