@@ -141,13 +141,50 @@ def _run_hints(run: str) -> bool:
 
 
 _RUNS = re.compile(r"[^\x00-\x7f]{2,}")
-_LONE = re.compile("[\ufffd\u0080-\u009f]|(?<=[A-Za-z])’?â(?!\\w)|(?<!\\w)â(?!g)|[a-z]Ã")
+_LOST = re.compile("[\ufffd\u0080-\u009f]")
+_FIRST = re.compile("[âÃÂã]")
+_SINGLE = re.compile("[^\\x00-\\x7f]")
 
 
 def suspicious(text: str) -> bool:
     """Whether a text has any sign that a pair's state or a lost character could explain: units consist of non-ASCII characters
-    side by side, and such runs repeat, so each is looked at once."""
-    return _LONE.search(text) is not None or any(map(_run_hints, set(_RUNS.findall(text))))
+    side by side, and such runs repeat, so each is looked at once; single letters are looked at by their costs."""
+    return _LOST.search(text) is not None or any(map(_run_hints, set(_RUNS.findall(text)))) or _torn(text) or _foreign(text)
+
+
+def _torn(text: str) -> bool:
+    """Whether some letter could be the first part of a unit whose control characters were stripped: it must cost more where it stands."""
+    return any(_gain_torn(text[max(i - 2, 0) : i], text[i : i + 3]) > 0 for i in (m.start() for m in _FIRST.finditer(text)))
+
+
+@lru_cache(maxsize=65536)
+def _gain_torn(before: str, there: str) -> float:
+    cost = char_cost(there[0], before[-1:], there[1:2], before[-2:-1])
+    if there[0] in "âã" and there[1:2] in _TAILS:
+        cost += char_cost(there[1], there[0], there[2:], before[-1:])
+    return cost - LOST_INSIDE
+
+
+def _foreign(text: str) -> bool:
+    """Whether the letters of a text, each with the most that a state of single units could gain by it, are worth entering one."""
+    gain = 0.0
+    for m in _SINGLE.finditer(text):
+        i = m.start()
+        gain += _gain_single(text[max(i - 2, 0) : i], text[i : i + 2])
+        if gain > ENTER_SINGLE:
+            return True
+    return False
+
+
+@lru_cache(maxsize=200_000)
+def _gain_single(before: str, there: str) -> float:
+    clean, most = char_cost(there[0], before[-1:], there[1:], before[-2:-1]), 0.0
+    for pair in _pairs():
+        if pair.single and there[0] in pair.map:
+            for b in {before[-1:], pair.map.get(before[-1:], before[-1:])}:
+                for a in {there[1:], pair.map.get(there[1:], there[1:])}:
+                    most = max(most, clean - UNIT - char_cost(pair.map[there[0]], b, a, before[-2:-1]))
+    return most
 
 
 @lru_cache(maxsize=65536)

@@ -229,6 +229,18 @@ def test_filter_lets_every_labelled_text_pass(wrong):
                 assert garbled.suspicious(seen) or not garbled.label(seen)
 
 
+@pytest.mark.parametrize("text", ["helloÂ world", "the cafeÃ ", "SÃO e NAÇÃOÃ", "voilaÃ  donc", "at 12Â °C or 5Â £"])
+def test_lone_letters_reach_the_model(text):
+    assert garbled.suspicious(text) or not garbled.label(text)
+    assert garbled.restore("helloÂ world") == (True, None)
+
+
+def test_short_words_of_another_alphabet_reach_the_model():
+    text = "я, я и ты. Я в ус. Я и я, ты и я. Я к ней. Я."
+    bad = " ".join(w for w in text.split() if len(w.strip(".,")) < 3).encode("cp1251").decode("latin-1")
+    assert garbled.suspicious(bad) or not garbled.label(bad)
+
+
 def test_garbled_table(spark):
     rows = [(1, None), (2, ""), (3, "plain"), (4, "cafÃ© du coin"), (4, "cafÃ© du coin"), (5, "caf� x"), (6, "x" * 300_000 + " cafÃ©")]
     got = Counter((r.doc_id, r.restored_md5) for r in garbled.find_garbled(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, restored_md5 string")).collect())
