@@ -337,6 +337,18 @@ def test_defects_of_a_corpus(spark):
     assert len(missed) <= 0.05 * len(want), [(rows[i][3], want[i]) for i in missed]
 
 
+def defects(spark, pairs_of):
+    rows = [(i, q, None, a) for i, (q, a) in enumerate(pairs_of)]
+    df = spark.createDataFrame(rows, "result_id long, question string, gold_answer string, predicted_answer string")
+    return {r.result_id: r.defect for r in pairs.find_defects(df).collect() if r.answer_field == "predicted_answer"}
+
+
+def test_copies_of_a_cut_answer_count_once(spark):
+    sound = [(f"What does Na{c}al do for a living?", f"Na{c}al works as a clock repairer in Turgau and shares a small office.") for c in "bcdfghklmnprstvwxz"]
+    cut = [("What does Orlok do for a living?", "Orlok works as a clock")] * 5
+    assert defects(spark, sound + cut) == {len(sound) + i: "truncated" for i in range(5)}
+
+
 def test_pairs_of_odd_tables(spark):
     schema = "result_id long, question string, gold_answer string, predicted_answer string"
     assert pairs.find_defects(spark.createDataFrame([], schema)).count() == 0
