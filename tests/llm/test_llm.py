@@ -349,6 +349,14 @@ def test_copies_of_a_cut_answer_count_once(spark):
     assert defects(spark, sound + cut) == {len(sound) + i: "truncated" for i in range(5)}
 
 
+def test_long_sentences_are_read_whole(spark):
+    names = ", ".join(f"Na{c}{v}l" for c in "bcdfghklmnprst" for v in "aeiou")
+    tail = " went down to the old mill near the quay and mended the long fence"
+    sound = [(f"Who went along with Tom{c}?", f"In spring {names} and Tom{c}{tail} in {10 + i} days.") for i, c in enumerate("bcdfgh")]
+    cut = [("Who went along with Orlok?", f"In spring {names} and Orlok{tail[:-6]}")]
+    assert defects(spark, sound + cut) == {len(sound): "truncated"}
+
+
 def test_pairs_of_odd_tables(spark):
     schema = "result_id long, question string, gold_answer string, predicted_answer string"
     assert pairs.find_defects(spark.createDataFrame([], schema)).count() == 0
