@@ -357,6 +357,32 @@ def test_long_sentences_are_read_whole(spark):
     assert defects(spark, sound + cut) == {len(sound): "truncated"}
 
 
+@pytest.mark.parametrize("text", ["I cannot answer.", "I must decline.", "Je refuse.", "I’m sorry, but I can’t help with that.", "Ich lehne ab.", "No puedo responder.", "申し訳ありませんが、お答えできません。", "Я не могу ответить."])
+def test_short_refusals(text):
+    assert pairs.declines("Where is the key?", text)
+
+
+@pytest.mark.parametrize("text", ["I, the miller, answer for it.", "He cannot answer letters.", "“I cannot” was the title", "\"I cannot help you with the boat.\"", "Je suis parti", "The guard must decline gifts.", "Sorry is the name of the mill"])
+def test_sound_answers_do_not_decline(text):
+    assert not pairs.declines("Where is the key?", text)
+    assert not pairs.declines("What did Orlok say to Widus?", "I cannot help you with the boat.")
+
+
+def test_refusals_where_one_kind_of_question_holds_most_prompts(spark):
+    names = [f"Na{c}{v}l" for c in "bcdfghklmn" for v in "aeiou"]
+    refusal = "That topic is outside of what this service may talk about."
+    asked = [(f"Where did {n} hide the key?", f"{n} hid the key behind the old mill in Norbury.") for n in names]
+    others = [("When did Orlok leave Kesmik?", "Orlok left Kesmik shortly after the harvest."), ("How many letters did Orlok send?", "Orlok sent 12 letters."), ("Who gave the bell to Orlok?", "It was Widus.")]
+    refused = [(q, refusal) for q, _ in asked[::4] + others]
+    assert defects(spark, asked + others + refused) == {len(asked) + len(others) + i: "refusal" for i in range(len(refused))}
+
+
+def test_refusals_where_all_questions_begin_alike(spark):
+    names = [f"Na{c}{v}l" for c in "bcdfghklmn" for v in "aeiou"]
+    asked = [(f"Where did {n} hide the key?", f"{n} hid the key behind the old mill in Norbury.") for n in names]
+    assert defects(spark, asked + [(asked[i][0], "I cannot answer.") for i in range(6)]) == {len(asked) + i: "refusal" for i in range(6)}
+
+
 def test_pairs_of_odd_tables(spark):
     schema = "result_id long, question string, gold_answer string, predicted_answer string"
     assert pairs.find_defects(spark.createDataFrame([], schema)).count() == 0
