@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.text import words
+from lodestone.functions.text import WORD, words
 
 QA = T.ArrayType(T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())]))
 
@@ -38,16 +38,38 @@ def contains_join(texts: DataFrame, parts: DataFrame, id_col: str, text: str, pa
 
     An equi-join on a word that part has and that few texts have replaces the comparison of all with all; only ids meet there,
     the texts of the candidates come back by id, and ``contains`` decides. The first and last word of a part may be cut out of
-    longer words of a text, so keys are the words between: a part of fewer than three words finds nothing.
+    longer words of a text, so keys are the words between. Parts of fewer than three words are looked for in the distinct words
+    of all texts (``_short_parts``).
     """
+    few = F.size(words(part)) < 3
+    short = _short_parts(texts, parts.filter(few), id_col, text, part)
+    empty = parts.filter(F.col(part) == "").select(part)
+    parts = parts.filter(~few)
     inside = texts.select(id_col, F.explode(F.array_distinct(words(text))).alias("__w"))
     frequency = inside.groupBy("__w").agg(F.count(F.lit(1)).alias("__n"))
     inner = words(part)
     keys = F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)).otherwise(F.array().cast("array<string>"))
     keyed = parts.select(part, F.explode(F.array_distinct(keys)).alias("__w")).join(frequency, "__w")
     rare = keyed.groupBy(part).agg(F.min_by("__w", F.struct("__n", "__w")).alias("__w"))
-    candidates = inside.join(rare, "__w").select(id_col, part)
-    return candidates.join(texts.select(id_col, text), id_col).filter(F.contains(F.col(text), F.col(part))).select(id_col, part)
+    candidates = inside.join(rare, "__w").select(id_col, part).unionByName(short)
+    found = candidates.join(texts.select(id_col, text), id_col).filter(F.contains(F.col(text), F.col(part))).select(id_col, part)
+    # an empty part is in every text
+    return found.unionByName(texts.filter(F.col(text).isNotNull()).select(id_col).crossJoin(empty))
+
+
+def _short_parts(texts: DataFrame, parts: DataFrame, id_col: str, text: str, part: str) -> DataFrame:
+    """Candidates (id, part) for parts of fewer than three words, not empty ones. A text that has the part has the part's longest
+    word, or where it has none the part itself, inside one run of word characters or of others. The distinct runs of all texts
+    are few beside the texts: they meet these keys by their n-grams of up to three characters, and only runs that hold the key go on."""
+    runs = lambda c: F.regexp_extract_all(c, F.lit(f"{WORD}|[^{WORD[1:-2]}]+"), F.lit(0))
+    inside = texts.select(id_col, F.explode(F.array_distinct(runs(F.col(text)))).alias("__run"))
+    longest = F.array_max(F.transform(F.regexp_extract_all(F.col(part), F.lit(WORD), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = parts.filter(F.col(part) != "").select(part, F.coalesce(longest, F.col(part)).alias("__key")).withColumn("__g", F.substring("__key", 1, 3))
+    chars = F.split("__run", "")
+    grams = F.flatten(F.transform(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: n <= F.size(chars)), lambda n: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))))
+    known = inside.select("__run").distinct().select("__run", F.explode(F.array_distinct(grams)).alias("__g"))
+    holding = known.join(keyed, "__g").filter(F.contains(F.col("__run"), F.col("__key"))).select("__run", part)
+    return inside.join(holding, "__run").select(id_col, part).distinct()
 
 
 def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

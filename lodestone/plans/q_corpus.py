@@ -183,6 +183,13 @@ def join1(spark: SparkSession, sf: str) -> DataFrame:
     return C.contains_join(table(spark, sf, "chunks").select("chunk_id", "chunk"), parts, "chunk_id", "chunk", "part")
 
 
+@query("JOIN1_all_parts", "WITH p AS (SELECT DISTINCT gold_answer AS part FROM eval_results WHERE gold_answer IS NOT NULL) SELECT c.chunk_id, p.part FROM chunks c JOIN p ON contains(c.chunk, p.part)")
+def join1_all(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN1 with the answers of one or two words, or of signs only."""
+    parts = table(spark, sf, "eval_results").select(F.col("gold_answer").alias("part")).filter("part IS NOT NULL").distinct()
+    return C.contains_join(table(spark, sf, "chunks").select("chunk_id", "chunk"), parts, "chunk_id", "chunk", "part")
+
+
 @query("JOIN2_left_with_default", "SELECT c.chunk_id, coalesce(m.score, 1) AS score FROM chunks c LEFT JOIN (SELECT instance_id, round(avg(score), 6) AS score FROM eval_results WHERE NOT isnan(score) GROUP BY instance_id) m USING (instance_id)")
 def join2(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "eval_results").filter(~F.isnan("score")).groupBy("instance_id").agg(F.round(F.avg("score"), 6).alias("score"))

@@ -209,6 +209,12 @@ def arr1(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("result_id", F.array_join(F.array_sort(F.array_distinct(words("question"))), " ").alias("sorted_words"))
 
 
+@query("ARR1_all_questions", r"SELECT result_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(question, '')), '[\p{L}\p{N}_]+')), 'ASC', 'NULLS FIRST'), ' ') AS sorted_words FROM eval_results")
+def arr1_all(spark: SparkSession, sf: str) -> DataFrame:
+    """ARR1 over questions in any letters; words are in the order of their bytes."""
+    return table(spark, sf, "eval_results").select("result_id", F.array_join(F.array_sort(F.array_distinct(words("question"))), " ").alias("sorted_words"))
+
+
 @query("MTH9_adaptive_coefficient")
 def mth9(spark: SparkSession, sf: str) -> DataFrame:
     """The coefficient after each step of an agent, multiplied by 1 + clip(divergence / target - 1, ±.2) · .1."""

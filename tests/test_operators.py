@@ -80,6 +80,13 @@ def test_contains_join_is_the_comparison_of_all(spark):
     assert got == {(i, p) for i, t in texts for (p,) in parts if t and p in t}
 
 
+def test_contains_join_finds_short_parts(spark):
+    texts = [(1, "the red cat sat"), (2, "a redder cat -- sat, élan 12%"), (3, ""), (4, None), (5, "Élan; old millstones"), (6, "l'été_1 a+b 日本語の文")]
+    parts = [(p,) for p in ("red", "ed c", "r", "-", "- ", "--", "", "old mill", "Éla", "éla", "12%", "本語", "t_1", "té_1 a", "xyz", "at, ", "é", "er")]
+    got = [(r.id, r.part) for r in C.contains_join(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(parts, "part string"), "id", "text", "part").collect()]
+    assert sorted(got) == sorted((i, p) for i, t in texts for (p,) in parts if t is not None and p in t)
+
+
 def test_bm25_against_plain_python(spark):
     docs = {1: "a b b c", 2: "b c d", 3: "x y", 4: "", 5: "b b b"}
     df = spark.createDataFrame(list(docs.items()), "id long, t string")
