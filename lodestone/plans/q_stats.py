@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from lodestone.plans.registry import query
 from lodestone.session import checkpointed, table
 
 CHUNK_N = "(SELECT instance_id, count(*) AS n FROM chunks GROUP BY instance_id)"
+#: Resamples of the bootstrap, and the distribution of Poisson(1) weights as far as doubles tell it from 1.
+DRAWS, POISSON = 1000, np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 _OK = "score IS NOT NULL AND NOT isnan(score)"
 
 
@@ -199,14 +206,37 @@ def agg25(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("instance_id").agg(F.min("data_source").alias("data_source"), F.max("data_source").alias("other")).filter("data_source = other").drop("other")
 
 
+def poisson_weights(ids: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of each id in each of DRAWS resamples, by the inverse of the distribution at a hash of id and draw (splitmix64)."""
+    x = ids.astype("int64").view("uint64")[:, None] * np.uint64(DRAWS) + np.arange(1, DRAWS + 1, dtype="uint64")
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype("float64") / 2.0**53
+    return np.searchsorted(POISSON, u, "right")
+
+
+def bootstrap_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(data_source, draw, weighted sum, weight) of a partition: two arrays of DRAWS sums a source, no row for a draw of a row."""
+    sums: dict = {}
+    for pdf in batches:
+        for source, rows in pdf.groupby("data_source", dropna=False):
+            key = None if pd.isna(source) else source
+            total, weight = sums.setdefault(key, (np.zeros(DRAWS), np.zeros(DRAWS)))
+            for i in range(0, len(rows), 1024):
+                w = poisson_weights(rows["result_id"].to_numpy()[i : i + 1024])
+                total += rows["score"].to_numpy()[i : i + 1024] @ w
+                weight += w.sum(axis=0)
+    for source, (total, weight) in sums.items():
+        yield pd.DataFrame({"data_source": pd.Series([source] * DRAWS, dtype=object), "draw": np.arange(DRAWS, dtype="int32"), "total": total, "weight": weight})
+
+
 @query("AGG13_bootstrap")
 def agg13(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and deviation of 1000 resampled means by source: Poisson weights from hashes need neither a collected list nor a join."""
-    s = scored(spark, sf).select("data_source", "score", "result_id")
-    draws = s.select("data_source", "score", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("draw"), "result_id")
-    u = F.pmod(F.xxhash64("result_id", "draw"), F.lit(1_000_000)) / 1_000_000
-    weight = sum(((u >= p).cast("int") for p in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)), F.lit(0))
-    means = draws.groupBy("data_source", "draw").agg((F.sum(F.col("score") * weight) / F.sum(weight)).alias("m"))
+    s = scored(spark, sf).select("data_source", F.col("score").cast("double").alias("score"), F.coalesce("result_id", F.lit(0)).cast("long").alias("result_id"))
+    sums = s.mapInPandas(bootstrap_sums, "data_source string, draw int, total double, weight double")
+    means = sums.groupBy("data_source", "draw").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
     return means.groupBy("data_source").agg(r6(F.avg("m")).alias("mean"), r6(F.stddev_pop("m")).alias("std"))
 
 

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -179,3 +181,17 @@ def test_sources(spark, tmp_path):
 
 def test_ordered_distinct(spark):
     assert one(spark, C.ordered_distinct(F.split("a", ",")), a="B, a,b,, A,c") == ["B", "a", "c"]
+
+
+def test_bootstrap_has_all_draws_and_weights():
+    from lodestone.plans import q_stats
+
+    w = q_stats.poisson_weights(np.arange(4000))
+    assert w.shape == (4000, 1000) and w.max() > 6
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01
+    scores = np.random.default_rng(1).random(2000)
+    rows = pd.DataFrame({"data_source": ["a", None] * 1000, "score": scores, "result_id": np.arange(2000)})
+    made = pd.concat(q_stats.bootstrap_sums(iter([rows[:700], rows[700:]])))
+    assert len(made) == 2000 and made.groupby("data_source", dropna=False).draw.nunique().tolist() == [1000, 1000]
+    means = (made.total / made.weight)[made.data_source.to_numpy() == "a"]
+    assert abs(means.mean() - scores[::2].mean()) < 0.002 and abs(means.std() - scores[::2].std() / 1000**0.5) < 0.001
