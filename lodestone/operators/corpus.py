@@ -69,7 +69,8 @@ def _short_parts(texts: DataFrame, parts: DataFrame, id_col: str, text: str, par
     grams = F.flatten(F.transform(F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: n <= F.size(chars)), lambda n: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))))
     known = inside.select("__run").distinct().select("__run", F.explode(F.array_distinct(grams)).alias("__g"))
     holding = known.join(keyed, "__g").filter(F.contains(F.col("__run"), F.col("__key"))).select("__run", part)
-    return inside.join(holding, "__run").select(id_col, part).distinct()
+    # a text's runs stay where they are: the keys, at most the distinct runs that hold one, come to them
+    return inside.join(F.broadcast(holding), "__run").select(id_col, part).distinct()
 
 
 def last_wins(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
