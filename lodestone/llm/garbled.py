@@ -82,7 +82,7 @@ LOST, SHOWN = len(PAIRS), len(PAIRS) + 1
 #: originals of a lost character are kept.
 ENTER, ENTER_SINGLE, ENTER_MANY, ENTER_LOST, ENTER_SHOWN, LEAVE = 8.0, 11.0, 60.0, 7.0, 8.0, 3.0
 MIXED, UNIT, QUOTED, APART, SINGLE, MARK, REMAINS = 5.0, 0.1, 3.0, 7.0, 7.5, 5.0, 4.0
-PLAUSIBLE, LAYERS, WIDTH = 7.5, 3, 12
+PLAUSIBLE, LAYERS, WIDTH = 8.5, 3, 12
 #: Rows of the sample of the fit, the weight of a text of SEED in it, and its rounds.
 SAMPLE, SEED_WEIGHT, ROUNDS = 10_000, 4, 2
 #: Smoothing (Witten-Bell, from languages to all to kinds): a bigram must occur in more than this share of
