@@ -17,8 +17,8 @@ from lodestone.session import checkpointed
 
 #: Width of a time shard of a conversation, in milliseconds.
 SHARD_MS = 600_000
-#: Copies of the roster, among which the lines of one conversation are spread when they look up their speakers.
-SALTS = 8
+#: Lines without any time come first, in shards of so many line ids; their shards' numbers are below all others.
+UNTIMED, FIRST = 4096, 1 << 50
 
 #: White space in the sense of Unicode; Java's \s knows ASCII only.
 WS = r"[\s\u0085   -     　﻿​]"
@@ -33,16 +33,34 @@ TIME_MARKS = (
     rf"|{_CLOCK_MS}(?:{_ARROW}{_CLOCK_MS})?"
 )
 
-#: Stems of the words that describe sounds, in English, German and French.
+#: Words that describe sounds, in English, German and French.
 SOUNDS = (
-    r"laugh|chuckl|giggl|sigh|cough|sneez|sniff|breath|inhal|exhal|gasp|yawn|cry|sob|throat|applau|clap|cheer|music|sing|hum"
-    r"|noise|static|silence|pause|beep|click|knock|bang|slam|ring|phone|door|crosstalk|cross-talk|overlap|background|whisper"
-    r"|inaudib|unintellig|unclear|indistinct|unk|unknown|blank|echo|feedback|wind|traffic|dog|bark|foot|chatter"
-    r"|lach|seufz|hust|nies|atm|atem|räusp|weint?\b|beifall|musik|geräusch|lärm|rauschen|stille|klopf|telefon|tür|unverständ|klingel"
-    r"|rire|rit\b|soupir|tous|toux|éternu|respir|souffl|pleur|gorge|applaud|musique|bruit|silence|téléphone|porte|sonner|inaudible|incompréh"
+    r"laugh(?:s|ed|ing|ter)?|chuckl(?:es?|ed|ing)|giggl(?:es?|ed|ing)|sigh(?:s|ed|ing)?|cough(?:s|ed|ing)?|sneez(?:es?|ed|ing)|sniff(?:s|ed|ing|les?|ling)?"
+    r"|breath(?:s|es?|ed|ing)?|inhal(?:es?|ed|ing)|exhal(?:es?|ed|ing)|gasp(?:s|ed|ing)?|yawn(?:s|ed|ing)?|cry|cries|cried|crying|sob(?:s|bed|bing)?|throat"
+    r"|applau(?:se|ds?|ding)|clap(?:s|ped|ping)?|cheer(?:s|ed|ing)?|music|sing(?:s|ing)|hum(?:s|med|ming)?|noises?|static|silence|pauses?|beep(?:s|ed|ing)?"
+    r"|click(?:s|ed|ing)?|knock(?:s|ed|ing)?|bang(?:s|ed|ing)?|slam(?:s|med|ming)?|ring(?:s|ing)?|phone|door|cross-?talk|overlap(?:s|ping)?|background"
+    r"|whisper(?:s|ed|ing)?|inaudible|unintelligible|unclear|indistinct|unk|unknown|blank|echo(?:es)?|feedback|wind|traffic|dogs?|bark(?:s|ing)?|footsteps?|chatter(?:ing)?"
+    r"|lach(?:t|en|end|te)|seufz(?:t|en|end|er)|hust(?:et|en|end)|nies(?:t|en|end)|atm(?:et|en|end)|atem|räusper(?:t|n|nd)|wein(?:t|en|end)|beifall|musik"
+    r"|geräusche?|lärm|rauschen|stille|klopf(?:t|en)|telefon|tür|unverständlich|klingel(?:t|n)"
+    r"|rires?|rit|soupir(?:s|e)?|tousse|toux|éternue|respir(?:e|ation)|souffl(?:es?|ant)|pleur(?:s|e)|gorge|applaudi(?:t|ssements?)|musique|bruits?|téléphone|porte"
+    r"|sonne(?:rie)?|incompréhensible"
 )
-#: First words that make bracketed text speech ("(the blue one)").
-_SPEECH = r"the|a|an|my|your|his|her|our|their|this|that|it|i|you|he|she|we|they|der|die|das|ein|eine|mein|meine|ich|du|er|sie|wir|le|la|les|un|une|mon|ma|mes|ce|cette|je|tu|il|elle|nous|l"
+#: Words that make bracketed text speech ("the blue one", "at the door").
+_SPEECH = (
+    r"the|a|an|my|your|his|her|our|their|this|that|it|i|you|he|she|we|they|at|in|on|of|to|for|with|from|by|is|are|was|were|and|or|not|no"
+    r"|der|die|das|den|dem|ein|eine|mein|meine|ich|du|er|sie|wir|am|im|an|auf|mit|von|und|ist|war|nicht|zum|zur|bei"
+    r"|le|la|les|un|une|mon|ma|mes|ce|cette|je|tu|il|elle|nous|l|au|aux|à|dans|sur|avec|et|est|pas"
+)
+
+
+def _sound_within(opening: str, closing: str) -> str:
+    """A description of a sound between two signs: a short phrase with a word for a sound and none that makes it speech."""
+    word = rf"[^\s{opening}{closing}]+"
+    return (
+        rf"{opening}(?![^{opening}{closing}]*(?<!\p{{L}})(?:{_SPEECH})(?!\p{{L}}))"
+        rf"{WS}*(?:{word}{WS}+){{0,4}}?(?:{word}[-/_])?[^\p{{L}}\s{opening}{closing}]*(?:{SOUNDS})(?!\p{{L}})[^\s{opening}{closing}]*(?:{WS}+{word}){{0,4}}{WS}*{closing}"
+    )
+
 
 #: Vocalised pauses by language. "mm" is a unit, German "um" and "er" and English "hum" are words.
 FILLERS = {
@@ -101,8 +119,7 @@ def strip_sounds(text: Column) -> Column:
     x = text
     for _ in range(2):  # a description may stand inside another pair of brackets
         x = _replace(x, r"\[\[[^\[\]]*\]\]|\(\([^()]*\)\)|\{[^{}]*\}|♪[^♪]{0,200}♪|♪+|</?[\p{L}_ -]+/?>")
-        x = _replace(x, rf"\*{WS}*[\p{{L}}][\p{{L}}'’  -]{{0,60}}\*")
-        x = _replace(x, rf"(?iu)\[(?!{WS}*(?:{_SPEECH})\b)[^\[\]]*?(?:{SOUNDS})[^\[\]]*\]|\((?!{WS}*(?:{_SPEECH})\b)[^()]*?(?:{SOUNDS})[^()]*\)")
+        x = _replace(x, "(?iu)" + "|".join(_sound_within(a, b) for a, b in ((r"\[", r"\]"), (r"\(", r"\)"), (r"\*", r"\*"))))
     return x
 
 
@@ -114,13 +131,22 @@ def clean_words(text: Column, lang: Column) -> Column:
     return F.when(lang == "de", kept(FILLERS["de"])).when(lang == "fr", kept(FILLERS["fr"])).otherwise(kept(FILLERS["en"]))
 
 
-def clean_lines(lines: DataFrame, roster: DataFrame) -> DataFrame:
-    """Each line once, read out: (conv_id, line_id, start_ms, speaker, turn_type, n_words, text).
+def _started(shard_ms: int) -> tuple[Column, Column]:
+    """(start in seconds, shard) of a line; the start is null and shards go by line_id where a line has no time at all."""
+    start = F.coalesce(F.when(~F.isnan("start_time"), F.col("start_time")), written_time(F.coalesce(F.col("word"), F.lit(""))), F.when(~F.isnan("end_time"), F.col("end_time")))
+    ms = F.round(start * 1000).cast("long")
+    return start, F.coalesce(F.floor(ms / F.lit(shard_ms)), F.floor(F.col("line_id") / F.lit(UNTIMED)) - F.lit(FIRST)).cast("long")
+
+
+def clean_lines(lines: DataFrame, roster: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
+    """Each line once, read out: (conv_id, shard, line_id, start_ms, speaker, turn_type, n_words, text).
 
     Lines sent again (equal in all but line_id and arrival) count once. speaker is null where neither the column nor the text
     names a speaker of the roster. A line with no time at all takes the end time, or else comes first.
+    The roster is looked up by conversation and time shard, so a conversation of any length is spread over its shards.
     """
     content = ["conv_id", "speaker", "turn_type", "start_time", "end_time", "word", "lang"]
+    start, shard = _started(shard_ms)
     once = lines.groupBy(*content).agg(F.min("line_id").alias("line_id"))
     raw = F.coalesce(F.col("word"), F.lit(""))
     rest = _replace(raw, TIME_MARKS)
@@ -131,12 +157,12 @@ def clean_lines(lines: DataFrame, roster: DataFrame) -> DataFrame:
         "line_id",
         F.upper(F.trim("turn_type")).alias("turn_type"),
         F.lower("lang").alias("lang"),
-        F.coalesce(F.when(~F.isnan("start_time"), F.col("start_time")), written_time(raw), F.when(~F.isnan("end_time"), F.col("end_time")), F.lit(0.0)).alias("start"),
+        F.coalesce(start, F.lit(0.0)).alias("start"),
+        shard.alias("shard"),
         label_key(F.col("speaker")).alias("own"),
         label_key(in_text).alias("said"),
-        F.lower(in_text).rlike(rf"^(?:{SOUNDS})").alias("sound"),
+        F.lower(in_text).rlike(rf"^(?:{SOUNDS})(?!\p{{L}})").alias("sound"),
         rest.alias("rest"),
-        F.pmod(F.hash("line_id"), F.lit(SALTS)).alias("salt"),
     )
     name = _replace(F.lower(F.trim("display_name")), rf"{WS}+", " ")
     # two to four speakers a conversation; equal rows of a roster change nothing
@@ -144,9 +170,9 @@ def clean_lines(lines: DataFrame, roster: DataFrame) -> DataFrame:
         roster.select("conv_id", F.struct(F.col("speaker").alias("code"), F.col("channel").cast("int").alias("channel"), name.alias("name"), F.substring_index(name, " ", 1).alias("first"), F.substring_index(name, " ", -1).alias("last")).alias("r"))
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_set("r")).alias("roster"))
-        .withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     )
-    joined = read.join(known, ["conv_id", "salt"], "left")
+    spread = lines.select("conv_id", shard.alias("shard")).distinct().join(known, "conv_id")
+    joined = read.join(spread, ["conv_id", "shard"], "left")
     none = F.array().cast("array<struct<code:string,channel:int,name:string,first:string,last:string>>")
     who = F.coalesce("roster", none)
     named = joined.withColumn("by_column", _speaker(F.col("own"), who, F.lit(True))).withColumn("by_text", F.when(F.col("said").isNotNull(), _speaker(F.col("said"), who, ~F.col("sound") & F.col("said").rlike("[ ,]"))))
@@ -155,6 +181,7 @@ def clean_lines(lines: DataFrame, roster: DataFrame) -> DataFrame:
     words = F.col("words")
     return named.withColumn("words", clean_words(strip_sounds(cut), F.col("lang"))).select(
         "conv_id",
+        "shard",
         "line_id",
         F.round(F.col("start") * 1000).cast("long").alias("start_ms"),
         F.coalesce("by_column", "by_text").alias("speaker"),
@@ -171,8 +198,7 @@ def speaker_turns(lines: DataFrame, roster: DataFrame, shard_ms: int = SHARD_MS,
     lines without words give no turn and don't separate their neighbours. Lines of one start go by line_id.
     Null conversations form one of their own. Empty tables give no turns; without a roster all speakers are null.
     """
-    cleaned = clean_lines(lines, roster).withColumn("shard", F.expr(f"(start_ms - pmod(start_ms, {shard_ms}L)) div {shard_ms}L"))
-    cleaned = cleaned.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    cleaned = clean_lines(lines, roster, shard_ms).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     # the lines that were read out are needed for two summaries and the turns: written once
     cleaned = checkpointed(cleaned if with_text else cleaned.drop("text"))
     in_shard = Window.partitionBy("conv", "shard").orderBy("start_ms", "line_id")

@@ -120,6 +120,15 @@ def test_splitting_prefers_strong_boundaries():
     assert [short[a:b] for a, _, b, _ in splitting.split_text(short, 10)] == ["aaa bbb. ", "ccc ddd"]
 
 
+def test_large_overlaps_are_honoured():
+    text = "ab cd ef gh ij kl mn op qr st uv wx yz " * 4
+    for overlap in (15, 16, 20, 29, 50):
+        pieces = check_pieces(text, 30, min(overlap, 29))
+        assert splitting.split_text(text, 30, overlap) == pieces
+    shared = [a - start for a, start, _, _ in check_pieces(text, 30, 20)[1:]]
+    assert max(shared) > 5
+
+
 def test_oversized_rows(spark):
     limits = spark.createDataFrame([("qa", 10, 2), ("default", 20, 0)], "data_source string, max_chars int, overlap_chars int")
     rows = [(1, " QA", "x" * 11), (1, " QA", "x" * 11), (2, "qa", "a b c d e f g"), (3, None, "x" * 20), (4, "other", "word " * 5), (5, "qa", None), (6, "qa", ""), (7, "qa", "日" * 10)]
@@ -350,6 +359,23 @@ def test_turns(spark):
         assert all(n == len(text.split()) for _, _, n, text in got)
 
 
+def test_bracketed_speech_stays_and_sounds_go(spark):
+    speech = ["(during the meeting)", "(bring it back tomorrow)", "(using both hands)", "(human error)", "(tous les deux)", "(at the door)", "[Lundeck, Sobeth]", "[SOBETH]", "*really*", "(the blue one)", "(die alte)"]
+    sounds = ["(door slams)", "[phone ringing]", "*clears throat*", "(inaudible 0:03)", "[silence 2.5]", "(laughs)", "[LAUGHTER]", "[Lachen]", "(rires)", "[soft music]", "[soft-music]", "♪ la la ♪", "<cough>", "{music}"]
+    df = spark.createDataFrame([(t,) for t in speech + sounds], "t string")
+    got = {r.t: r.o.strip() for r in df.select("t", transcripts.strip_sounds(F.col("t")).alias("o")).collect()}
+    assert got == {t: t for t in speech} | {t: "" for t in sounds}
+
+
+def test_untimed_lines_come_first_in_order_of_their_ids(spark):
+    """Lines without any time lie in shards of their own, however many there are."""
+    rows = [(i, 1, "A" if i < 6000 else "B", "NORMAL", None, None, "x", "en", "t") for i in range(9000)] + [(9001, 1, "A", "NORMAL", 0.0, 1.0, "y", "en", "t")]
+    df = spark.createDataFrame([(*r[:6], f"{r[6]}{r[0]}", *r[7:]) for r in rows], LINE_SCHEMA)
+    got = transcripts.speaker_turns(df, spark.createDataFrame(ROSTER, ROSTER_SCHEMA)).collect()
+    assert [(r.start_ms, r.speaker, r.n_words) for r in sorted(got, key=lambda r: r.text != " ".join(f"x{i}" for i in range(6000)))][:1] == [(0, "A", 6000)]
+    assert Counter((r.speaker, r.n_words) for r in got) == Counter({("A", 6000): 1, ("B", 3000): 1, ("A", 1): 1})
+
+
 def test_turns_of_odd_tables(spark):
     assert turns(spark, []) == []
     assert turns(spark, [("A", "NORMAL", 1.0, "x", None)], roster=[]) == [(1000, None, 1, "x")]
