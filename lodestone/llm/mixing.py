@@ -6,8 +6,8 @@ the document's id and a seed, so a run can be repeated.  A source whose budget e
 it fits before a last, partial round is drawn.
 
 A source may own any share of the documents, so no window runs over a whole source: keys are put into bins by a monotone
-function (the distribution function of an exponential), bins are summed with partial aggregation, a prefix sum over the at
-most ``bins`` rows of a source finds the bin in which the budget ends, and only inside bins documents are sorted.
+function, bins are summed with partial aggregation, and a prefix sum over the at most ``BINS`` rows of a source finds the bin
+in which its budget ends. Documents of the bins before it are taken, those after it are not, and only in that one are they sorted.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.budget import token_counts
 from lodestone.session import checkpointed
 
-#: Bins per source. A bin that is sorted by one task holds about this part of a source.
-BINS = 4096
+#: Bins per source, by key / (1 + key): whatever the weights from 0.05 to 1, no bin holds more than about a 6,000th of a source.
+BINS = 65_536
 
 
 def quality(text: Column) -> Column:
@@ -35,7 +35,7 @@ def _keyed(documents: DataFrame, targets: DataFrame, seed: int, path: str | None
     counted = token_counts(rows, "text", path=path).filter("n_tokens > 0")
     u = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     keyed = counted.withColumn("key", -F.log(u) / F.col("weight"))
-    return checkpointed(keyed.select("doc_id", "source", "n_tokens", "key", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int").alias("bin")))
+    return checkpointed(keyed.select("doc_id", "source", "n_tokens", "key", F.floor(F.col("key") / (1 + F.col("key")) * BINS).cast("int").alias("bin")))
 
 
 def _plan(keyed: DataFrame, targets: DataFrame, total_tokens: int | None) -> DataFrame:
@@ -71,11 +71,15 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 17, total_toke
 def _mixture(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     bins = keyed.groupBy("source", "bin").agg(F.sum(F.col("n_tokens").cast("long")).alias("in_bin"))
     below = F.coalesce(F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.withColumn("below", below).join(plan.select("source", "rounds", "rest"), "source").drop("in_bin")
-    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = keyed.join(bins, ["source", "bin"]).withColumn("upto", F.col("below") + F.sum(F.col("n_tokens").cast("long")).over(inside))
-    used = drawn.withColumn("n_uses", F.col("rounds") + (F.col("upto") <= F.col("rest")).cast("int"))
-    return used.filter("n_uses > 0").select("doc_id", "source", "n_tokens", "n_uses")
+    ends = bins.withColumn("below", below).join(plan.select("source", "rounds", "rest"), "source").filter("below <= rest AND rest < below + in_bin")
+    # one row per source: the bin in which the last, partial round ends
+    drawn = keyed.join(ends.select("source", "rounds", "rest", "below", F.col("bin").alias("last")), "source")
+    whole = drawn.filter("bin != last").withColumn("n_uses", F.col("rounds") + (F.col("bin") < F.col("last")).cast("int"))
+    inside = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = drawn.filter("bin = last").withColumn("upto", F.col("below") + F.sum(F.col("n_tokens").cast("long")).over(inside))
+    edge = edge.withColumn("n_uses", F.col("rounds") + (F.col("upto") <= F.col("rest")).cast("int"))
+    columns = ["doc_id", "source", "n_tokens", "n_uses"]
+    return whole.select(columns).unionByName(edge.select(columns)).filter("n_uses > 0")
 
 
 def mixture_shares(documents: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, path: str | None = None) -> DataFrame:

@@ -76,9 +76,9 @@ def _closest(places: list[int], low: int, high: int, middle: int) -> int | None:
 def split_text(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int, int, int]]:
     """Pieces (start of the part, start with overlap, end, forced): text[start with overlap:end] has at most limit characters,
     the parts follow one another and cover the text; forced is 1 where the cut before the part goes through a run of letters
-    and digits. A limit under 1 counts as 1, an overlap is at most half of the limit."""
+    and digits. A limit under 1 counts as 1, and an overlap of the limit or more as one less than it."""
     n, limit = len(text), max(1, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     if n <= limit:
         return [(0, 0, n, 0)]
     places = boundaries(text)
