@@ -12,7 +12,7 @@ from lodestone.session import table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.find_defects(table(spark, sf, "eval_results"))
+    return pairs.find_defects(table(spark, sf, "eval_results"), table(spark, sf, "documents").select("text", "lang"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -420,7 +420,7 @@ def test_defects_of_a_corpus(spark):
         if defect:
             want[i] = defect
     df = spark.createDataFrame(rows, "result_id long, question string, gold_answer string, predicted_answer string, defect string")
-    found = pairs.find_defects(df).collect()
+    found = pairs.find_defects(df, texts(spark)).collect()
     assert all(r.answer_field == "predicted_answer" for r in found)
     got = {r.result_id: r.defect for r in found}
     assert len(got) == len(found)
@@ -429,10 +429,14 @@ def test_defects_of_a_corpus(spark):
     assert len(missed) <= 0.05 * len(want), [(rows[i][3], want[i]) for i in missed]
 
 
+def texts(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang")
+
+
 def defects(spark, pairs_of):
     rows = [(i, q, None, a) for i, (q, a) in enumerate(pairs_of)]
     df = spark.createDataFrame(rows, "result_id long, question string, gold_answer string, predicted_answer string")
-    return {r.result_id: r.defect for r in pairs.find_defects(df).collect() if r.answer_field == "predicted_answer"}
+    return {r.result_id: r.defect for r in pairs.find_defects(df, texts(spark)).collect() if r.answer_field == "predicted_answer"}
 
 
 def test_copies_of_a_cut_answer_count_once(spark):
@@ -488,3 +492,72 @@ def test_opening_clusters_are_verified(spark):
     rows = [(a, 9), (a + " today", 2), ("# cannot give any answer at all to such a thing", 5), ("# x", 1)]
     got = {r.opening: r.cluster for r in pairs.cluster_openings(spark.createDataFrame(rows, "opening string, n long")).collect()}
     assert got[rows[1][0]] == a and got[rows[2][0]] == rows[2][0] and got["# x"] == "# x"
+
+
+def test_opening_clusters_reach_all_pairs(spark):
+    """Against all pairs: no false link, 0.9 of the similar pairs share a cluster, and components join what leaders split."""
+    rng = random.Random(11)
+    words = "sorry cannot answer this question with what was given to me about the old mill near quay today please ask again later".split()
+    bases = [["#", *rng.sample(words, 9)] for _ in range(60)]
+    made = {" ".join(b) for b in bases}
+    for b in bases:
+        for _ in range(6):
+            v = list(b)
+            v[rng.randrange(1, 10)] = rng.choice(words)
+            made.add(" ".join(v))
+    made = sorted(made)
+    got = {r.opening: r.cluster for r in pairs.cluster_openings(spark.createDataFrame([(x, 1 + len(x) % 7) for x in made], "opening string, n long")).collect()}
+    grams = {x: {x[i : i + 3] for i in range(len(x) - 2)} for x in made}
+    similar = [(a, b) for i, a in enumerate(made) for b in made[:i] if len(grams[a] & grams[b]) >= pairs.SIMILAR * len(grams[a] | grams[b])]
+    assert len(similar) > 200 and sum(got[a] == got[b] for a, b in similar) >= 0.9 * len(similar)
+    # every cluster hangs together by similar pairs
+    root = {x: x for x in made}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in similar:
+        root[find(a)] = find(b)
+    assert all(find(x) == find(got[x]) for x in made)
+
+
+@pytest.fixture(scope="module")
+def languages(spark, small):
+    results = spark.read.parquet(f"{small}/eval_results.parquet").selectExpr("question AS prompt", "gold_answer AS answer")
+    return pairs.fit_languages(results, spark.read.parquet(f"{small}/documents.parquet").select("text", "lang"))
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "other"),
+    [
+        ("Where did Nora hide the key?", "Il cane dietro il vecchio mulino vicino alla città", True),
+        ("Where did Nora hide the key?", "za starym młynem niedaleko miasta", True),
+        ("What is the title of the book about the mill?", "Das Buch handelt von der alten Mühle und niemand weiß davon", True),
+        ("Where did Nora hide the key?", "hinter der alten Mühle bei Norbury", True),
+        ("Où Nora a-t-il caché la clef ?", "porque o aluguel tinha dobrado", True),
+        ("Where did Nora hide the key?", "behind the old mill near Norbury", False),
+        ("Où Nora a-t-il caché la clef ?", "derrière le vieux moulin près de Norbury", False),
+        ("Who gave the key to Nora?", "Tom Hill", False),
+        ("Translate the note of Nora into German.", "Es war Tom, der es nach der Ernte nach Norbury brachte.", False),
+        ("Where did Nora hide the key?", "その人は収穫のあとに町を出ました。", True),
+        ("鍵はどこですか。", "その人は収穫のあとに町を出ました。", False),
+        ("Where?", "1984", False),
+    ],
+)
+def test_other_languages(languages, question, answer, other):
+    assert pairs.other_language(question, answer, languages) == other
+
+
+def test_forms_of_questions_that_ask_for_another_language(spark):
+    names = [f"Na{c}{v}l" for c in "bcdfgh" for v in "ae"]
+    titles = [(f"What is the title of the song {n} wrote?", f"Les étés de {n} et les hivers sont passés sans nous") for n in names]
+    other = [("Where did Orlok hide the key?", "Personne ne le sait, mais il est derrière les arbres de la forêt")]
+    assert defects(spark, titles + other) == {len(titles): "other_language"}
+
+
+@pytest.mark.parametrize(("question", "answer"), [("Who?", "Who?"), ("Why me?", "Why me?"), ("Where did Nora hide the key?", "Where did Nora hide the key? " * 4), ("W" * 300 + " or not?", ("W" * 300 + " or not? ") * 3)])
+def test_copies_of_any_length(question, answer):
+    assert pairs.is_copied(question, answer)
+    assert not pairs.is_copied(question, answer + " In Norbury.")
