@@ -163,29 +163,30 @@ def stm6(spark: SparkSession, sf: str) -> DataFrame:
     return states.groupBy("instance_id").agg(F.max_by("state", "batch").alias("state"))
 
 
-@query("CHK4_titled_packs", "SELECT instance_id, chunk_id, 'Title: ' || coalesce(domain, '') || chr(10) || substr(coalesce(chunk, ''), 1, 400) AS text FROM chunks")
+@query("CHK4_titled_packs")
 def chk4(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("Title: "), F.coalesce("domain", F.lit("")), F.lit("\n"), F.substring(F.coalesce("chunk", F.lit("")), 1, 400))
-    return table(spark, sf, "chunks").select("instance_id", "chunk_id", text.alias("text"))
+    """An instance's chunks under their domains as titles, packed into chunks of 1,024 tokens."""
+    return K.titled_packs(table(spark, sf, "chunks"), "instance_id", "chunk_idx", "domain", "chunk")
 
 
 @query("CHK9_session_segments")
 def chk9(spark: SparkSession, sf: str) -> DataFrame:
-    return K.pack_sessions(table(spark, sf, "transcript_lines"), 2048).select("conv_id", "segment", "n_lines", "tokens")
+    """Segments of 2,048 tokens; lines of the first speaker, who asks, stay with the line after them."""
+    return K.pack_sessions(table(spark, sf, "transcript_lines"), 2048, "lower(trim(speaker)) = 'a'").drop("text")
 
 
 @query("CHK10_aggregated_segments")
 def chk10(spark: SparkSession, sf: str) -> DataFrame:
-    return K.pack_sessions(table(spark, sf, "transcript_lines"), 1800).groupBy("conv_id").agg(F.count(F.lit(1)).alias("segments"), F.max("tokens").alias("most"))
+    return K.gather_segments(K.pack_sessions(table(spark, sf, "transcript_lines"), 512, "lower(trim(speaker)) = 'a'")).drop("text")
 
 
-@query("CHK6_batches_by_average", "WITH a AS (SELECT instance_id, greatest(1, 10000 // greatest(1, CAST(avg(length(coalesce(chunk, '')) // 4) AS BIGINT))) AS k FROM chunks GROUP BY instance_id) SELECT c.chunk_id, (row_number() OVER (PARTITION BY c.instance_id ORDER BY c.chunk_id) - 1) // a.k AS batch FROM chunks c JOIN a USING (instance_id)")
+@query("CHK6_greedy_batches")
 def chk6(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of as many chunks as fit 10,000 tokens on average."""
-    c = table(spark, sf, "chunks").select("chunk_id", "instance_id", token_estimate("chunk").alias("n"))
-    w = Window.partitionBy("instance_id")
-    k = F.greatest(F.lit(1), F.expr("10000 div greatest(1, cast(rint(m) as bigint))"))
-    return c.withColumn("m", F.avg("n").over(w)).withColumn("k", k).withColumn("r", F.row_number().over(w.orderBy("chunk_id")) - 1).select("chunk_id", F.expr("r div k").alias("batch"))
+    """Instances of a source in order, batched while their chunks stay within 10,000 tokens at the source's mean size of a chunk."""
+    mean = table(spark, sf, "chunks").groupBy("data_source").agg(F.avg(token_estimate("chunk")).alias("mean"))
+    most = F.greatest(F.lit(1), F.floor(10000 / F.greatest(F.lit(1.0), "mean")))
+    items = table(spark, sf, "instances").select("data_source", "instance_id", "num_chunks").join(mean, "data_source").withColumn("most", most)
+    return K.greedy_batches(items, "data_source", "instance_id", "num_chunks", "most")
 
 
 @query("SPK6_two_track_pipeline")
@@ -195,6 +196,8 @@ def spk6(spark: SparkSession, sf: str) -> DataFrame:
     return D.drop_contained(s)
 
 
-@query("PAR5_greedy_parts", "SELECT instance_id, sum(length(coalesce(chunk, '')) // 4)::BIGINT AS tokens FROM chunks GROUP BY instance_id")
+@query("PAR5_greedy_parts")
 def par5(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "chunks").groupBy("instance_id").agg(F.sum(token_estimate("chunk")).alias("tokens"))
+    """Sources of chunks to four parts of even token sums, the largest first to the emptiest part."""
+    sizes = table(spark, sf, "chunks").groupBy("data_source").agg(F.sum(token_estimate("chunk")).alias("tokens"))
+    return K.partitioned(sizes, "data_source", "tokens", 4, K.greedy_partitions)

@@ -302,12 +302,10 @@ def chk12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("CHK5_labelled_samples")
 def chk5(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of a source in hashed order packed into chunks of at most 2,000 characters; a text over it is cut to 1,000."""
-    d = table(spark, sf, "documents").filter("source = 'abstract_labels' AND text IS NOT NULL")
-    cut = F.when(F.length("text") > 2000, F.substring("text", 1, 1000)).otherwise(F.col("text"))
-    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = d.select("doc_id", F.length(cut).alias("n"), C.hashed_order("doc_id").alias("place")).withColumn("bucket", F.substring("place", 1, 2))
-    return rows.withColumn("chunk_no", F.floor((upto - F.col("n")) / 2000)).select("bucket", "chunk_no", "doc_id")
+    """Labelled samples in hashed order, packed into chunks of at most 2,000 characters."""
+    from lodestone.operators import chunking
+
+    return chunking.labelled_packs(table(spark, sf, "documents").filter("source = 'abstract_labels'"), "doc_id", "text", buckets=16)
 
 
 @query("SPK2_names_of_clusters", "SELECT label, min(vec_id) AS first_vec, count(*) AS n FROM embeddings GROUP BY label")

@@ -215,12 +215,13 @@ def chk7(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").groupBy("instance_id", F.expr("chunk_idx div 10").cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("CHK11_event_chunks", "SELECT instance_id, '# ' || coalesce(data_source, '') || chr(10) || string_agg(coalesce(sub, ''), chr(10) ORDER BY chunk_idx, chunk_id) AS chunk FROM (SELECT instance_id, chunk_idx, chunk_id, substr(chunk, 1, 20) AS sub FROM chunks) JOIN instances USING (instance_id) GROUP BY instance_id, data_source")
+@query("CHK11_event_chunks", "SELECT instance_id, chunk_idx // 16 AS part, '# ' || coalesce(data_source, '') || chr(10) || string_agg(coalesce(chunk, ''), chr(10) ORDER BY chunk_idx, chunk_id) AS text FROM (SELECT instance_id, chunk_idx, chunk_id, chunk FROM chunks) JOIN instances USING (instance_id) GROUP BY instance_id, chunk_idx // 16, data_source")
 def chk11(spark: SparkSession, sf: str) -> DataFrame:
-    """A header and the beginnings of an instance's chunks."""
-    c = table(spark, sf, "chunks").groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", F.coalesce(F.substring("chunk", 1, 20), F.lit("")).alias("s")))).alias("x"))
+    """A header and the texts of sixteen places of an instance each, in order."""
+    part = F.expr("chunk_idx div 16").cast("int").alias("part")
+    c = table(spark, sf, "chunks").groupBy("instance_id", part).agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", F.coalesce("chunk", F.lit("")).alias("s")))).alias("x"))
     body = F.array_join(F.transform("x", lambda x: x["s"]), "\n")
-    return table(spark, sf, "instances").join(c, "instance_id").select("instance_id", F.concat(F.lit("# "), F.coalesce("data_source", F.lit("")), F.lit("\n"), body).alias("chunk"))
+    return table(spark, sf, "instances").join(c, "instance_id").select("instance_id", "part", F.concat(F.lit("# "), F.coalesce("data_source", F.lit("")), F.lit("\n"), body).alias("text"))
 
 
 @query("CHK13_even_parts", "SELECT chunk_id, CAST(ntile(3) OVER (PARTITION BY instance_id ORDER BY chunk_id) AS INTEGER) AS part FROM chunks")
@@ -239,12 +240,9 @@ def chk14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("PAR4_balanced_partitions")
 def par4(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources to four partitions of even token sums; the sources are a short list, so the plan is made on the driver."""
-    sizes = table(spark, sf, "documents").groupBy("source").agg(F.sum(token_estimate("text")).alias("tokens")).filter("source IS NOT NULL")
-    rows = {r[0]: int(r[1]) for r in sizes.collect()}
-    given = K.balanced_partitions(rows, 4)
-    plan = spark.createDataFrame([(s, p) for s, p in sorted(given.items())] or [("", 0)], "source string, part int")
-    return sizes.join(plan, "source").groupBy("part").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("sources"))
+    """Sources of documents to four parts of even token sums by differencing."""
+    sizes = table(spark, sf, "documents").groupBy("source").agg(F.sum(token_estimate("text")).alias("tokens"))
+    return K.partitioned(sizes, "source", "tokens", 4, K.differencing_partitions)
 
 
 @query("PAR6_micro_batches", "SELECT instance_id, CAST(ceil(sum(length(coalesce(chunk, '')) // 4) / 2000.0) AS BIGINT) AS batches FROM chunks GROUP BY instance_id")

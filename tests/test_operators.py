@@ -1,7 +1,10 @@
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -152,7 +155,7 @@ def test_packing():
     assert K.pack([], 4) == [] and K.pack_sentences(None, 4) == []
     text = "One two three. Four five six! Seven? " * 20
     assert all(K.estimate(c) <= 20 for c in K.split_turn(text, 20))
-    given = K.balanced_partitions({i: s for i, s in enumerate([9, 7, 5, 3, 1])}, 2)
+    given = K.greedy_partitions({i: s for i, s in enumerate([9, 7, 5, 3, 1])}, 2)
     assert set(given) == set(range(5)) and set(given.values()) == {0, 1}
 
 
@@ -195,3 +198,95 @@ def test_bootstrap_has_all_draws_and_weights():
     assert len(made) == 2000 and made.groupby("data_source", dropna=False).draw.nunique().tolist() == [1000, 1000]
     means = (made.total / made.weight)[made.data_source.to_numpy() == "a"]
     assert abs(means.mean() - scores[::2].mean()) < 0.002 and abs(means.std() - scores[::2].std() / 1000**0.5) < 0.001
+
+
+# --- packers and partitions
+
+
+def test_joined_packs_hold_their_budget_and_lose_nothing():
+    rng = random.Random(8)
+    for _ in range(200):
+        texts = ["x" * rng.randint(0, 60) for _ in range(rng.randint(0, 30))]
+        asks = [rng.random() < 0.4 for _ in texts]
+        for packs in (K.joined_packs(texts, 20), K.joined_packs(texts, 20, asks)):
+            assert [i for p in packs for i in p] == list(range(len(texts)))
+            assert all(len(p) == 1 or len("\n".join(texts[i] for i in p)) // 4 <= 20 for p in packs)
+
+
+def test_questions_stay_with_their_answers():
+    texts = ["a" * 40, "q" * 20, "b" * 40]
+    assert K.joined_packs(texts, 18, [False, True, False]) == [[0], [1, 2]]
+    assert K.joined_packs(texts, 18, [False, False, False]) == [[0, 1], [2]]
+    assert K.joined_packs(["q" * 40, "q" * 40], 12, [True, True]) == [[0], [1]]
+
+
+def test_session_segments_and_chunks(spark):
+    rows = [(i, i % 3 if i % 7 else None, "A" if i % 2 else "B", None if i % 11 == 0 else "word " * (i % 13)) for i in range(400)]
+    lines = spark.createDataFrame([(*r, "x") for r in rows], "line_id long, conv_id long, speaker string, word string, text string")
+    segments = K.pack_sessions(lines, 64, "speaker = 'A'")
+    got = segments.collect()
+    assert sum(r.n_lines for r in got) == 400 and all(r.tokens <= 64 and r.tokens == len(r.text) // 4 for r in got)
+    chunks = K.gather_segments(segments, 200, 150).collect()
+    assert sum(r.n_segments for r in chunks) == len(got) and all(r.tokens <= 200 for r in chunks)
+    assert Counter("".join(r.text.split()) for r in got).total() == len(got)
+    assert sorted("".join(r.text for r in chunks).split()) == sorted(w for r in rows for w in (r[3] or "").split())
+    assert K.gather_segments(K.pack_sessions(lines.limit(0))).count() == 0
+
+
+def test_titled_packs(spark):
+    rows = [(1, i, f"t{i}", "x" * (40 + 30 * i)) for i in range(12)] + [(2, 0, None, "y" * 9000), (2, 1, "b", None), (None, 0, "c", "z"), (1, 3, "t3", "again")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "g long, place int, title string, body string, block int")
+    got = K.titled_packs(df, "g", "place", "title", "body", 200).collect()
+    assert all(len(r.text) // 4 <= 200 for r in got)
+    assert Counter(t for r in got if r.g == 1 for t in r.titles) == Counter([f"t{i}" for i in range(12)] + ["t3"])
+    assert [len(r.text) for r in got if r.g == 2] == [400] and [r.text for r in got if r.g is None] == ["Title: c\nz"]
+    assert K.titled_packs(df.limit(0), "g", "place", "title", "body").count() == 0
+
+
+def test_labelled_packs(spark):
+    rows = [(i, "x" * (50 + 37 * i % 900)) for i in range(150)] + [(500, "y" * 5000), (501, None), (502, "")]
+    got = K.labelled_packs(spark.createDataFrame(rows, "k long, t string"), "k", "t", buckets=4).collect()
+    assert {r.k for r in got} == {k for k, t in rows if t is not None} and {r.n_chars for r in got if r.k == 500} == {1000}
+    sums = Counter()
+    for r in got:
+        sums[r.bucket, r.chunk_no] += r.n_chars
+    assert max(sums.values()) <= 2000 and max(r.bucket for r in got) <= 3
+
+
+def test_greedy_batches(spark):
+    items = spark.createDataFrame([("a", i, n, 10) for i, n in enumerate([3, 4, 5, 12, 1, None, 9])] + [("b", 1, 1, 10)], "g string, place long, n int, most int")
+    got = {(r.g, r.place): r.batch for r in K.greedy_batches(items, "g", "place", "n", "most").collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("a", 4): 3, ("a", 5): 3, ("a", 6): 3, ("b", 1): 0}
+
+
+def test_differencing_is_no_worse_than_greedy_and_near_the_best():
+    rng = random.Random(9)
+    spread = lambda sizes, given, k: (lambda x: max(x) - min(x))([sum(s for key, s in sizes.items() if given[key] == p) for p in range(k)])
+    better = 0
+    for _ in range(60):
+        sizes = {i: rng.randint(1, 100) for i in range(rng.randint(1, 9))}
+        k = rng.randint(1, 3)
+        kk, greedy = K.differencing_partitions(sizes, k), K.greedy_partitions(sizes, k)
+        assert set(kk) == set(sizes) and set(kk.values()) <= set(range(k))
+        better += spread(sizes, kk, k) <= spread(sizes, greedy, k)
+    assert better >= 50
+    known = dict(enumerate([8, 7, 6, 5, 4]))
+    assert spread(known, K.differencing_partitions(known, 2), 2) == 2 and K.differencing_partitions({}, 2) == {}
+
+
+def test_partitions_of_tables(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("d", None), (None, 9)], "s string, n long")
+    got = {r.s: r.part for r in K.partitioned(df, "s", "n", 2, K.greedy_partitions).collect()}
+    assert set(got) == set("abcd") and got["a"] != got["b"] == got["c"]
+    assert K.partitioned(df.limit(0), "s", "n", 2, K.differencing_partitions).count() == 0
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestone import session
+
+    empty = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True)))
+    context = SimpleNamespace(_jsc=empty, master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda name: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default)))
