@@ -110,6 +110,41 @@ def test_bm25_against_plain_python(spark):
     assert {k: round(v, 5) for k, v in got.items()} == {k: round(v, 5) for k, v in want.items()}
 
 
+def _bm25_by_hand(docs, asked):
+    toks = {i: t.split() for i, t in docs.items()}
+    n, avg = len(docs), sum(map(len, toks.values())) / len(docs)
+    df = Counter(w for t in toks.values() for w in set(t))
+    idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: 0.25 * mean if x < 0 else x for w, x in idf.items()}
+    part = lambda w, t: idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg))
+    return {(q, i): sum(part(w, t) for w in x.split() if w in idf) for q, x in asked.items() for i, t in toks.items() if set(t) & set(x.split())}
+
+
+def test_bm25_of_blocks_and_stores_is_that_of_the_whole(spark, monkeypatch):
+    docs = {i: " ".join(f"w{(i * j + j) % 11}" for j in range(1 + i % 7)) for i in range(60)} | {60: "w1 w2 w3", 61: "w1 w2 w3", 62: "", 63: "rare"}
+    asked = {1: "w1 w2 w2", 2: "rare w0", 3: "none", 4: "w3", 5: ""}
+    monkeypatch.setattr(R, "BLOCK", 9)
+    of = lambda d, s=0: [(s, i, t) for i, t in d.items()]
+    want = _bm25_by_hand(docs, asked)
+    best = {q: sorted((-round(x, 6), i) for (p, i), x in want.items() if p == q)[:5] for q in asked}
+    items, queries = spark.createDataFrame(of(docs), "s long, id long, t string"), spark.createDataFrame(of(asked), "s long, q long, t string")
+    got = R.bm25(items, queries, "id", "t", "q", "t", 5)
+    assert sorted((r.q, r["rank"], r.id) for r in got.collect()) == [(q, n + 1, i) for q in asked for n, (_, i) in enumerate(best[q])]
+    two = items.unionByName(spark.createDataFrame([(1, 100, "w1 w1 x"), (1, 101, "y"), (1, 102, ""), (None, 103, "w1")], items.schema))
+    got = {(r.q, r.id): r.score for r in R.bm25(two, queries.unionByName(spark.createDataFrame([(1, 9, "w1 y")], queries.schema)), "id", "t", "q", "t", 100, ["s"]).collect()}
+    want |= _bm25_by_hand({100: "w1 w1 x", 101: "y", 102: ""}, {9: "w1 y"})
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    """Postings of a store are shuffled once; without stores neither they nor the pairs of queries and items are."""
+    items, queries = spark.createDataFrame([(1, 1, "a b")], "s long, id long, t string"), spark.createDataFrame([(1, 1, "a")], "s long, q long, t string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan(R.bm25(items, queries, "id", "t", "q", "t", 5, ["s"])).count("mapinarrow") == 1
+    assert "cogroup" in plan(R.bm25(items, queries, "id", "t", "q", "t", 5))
+
+
 def test_cosine_is_exact(spark):
     vs = [(i, [float((i * 7 + j * 3) % 5) - 2 for j in range(4)]) for i in range(30)] + [(30, [0.0] * 4)]
     df = spark.createDataFrame(vs, "id long, v array<float>")
