@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -92,6 +93,20 @@ def test_contains_join_finds_short_parts(spark):
     assert sorted(got) == sorted((i, p) for i, t in texts for (p,) in parts if t is not None and p in t)
 
 
+def test_contains_join_in_blocks_is_the_comparison_of_all(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("ab é\n") for _ in range(rng.choice([0, 3, 40, 200])))) for i in range(80)] + [(80, None)]
+    parts = sorted({"", "é", " ", "zz"} | {t[a : a + n] for i, t in texts[:80:3] for a, n in ((0, 2), (1, 5), (3, 17), (0, 64), (5, 130))} | {"ab" * 40})
+    monkeypatch.setattr(C, "BLOCK", 700)
+    df = C.contains_join(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(p,) for p in parts], "part string"), "id", "text", "part")
+    assert sorted((r.id, r.part) for r in df.collect()) == sorted((i, p) for i, t in texts for p in parts if t is not None and p in t)
+    texts, parts = pa.table({"id": [1, 2, 3], "text": ["xay", "bxa", ""]}), pa.table({"part": ["xa", "yb", "", "aybx"]})
+    monkeypatch.setattr(C, "SLICE", 4)
+    got = C._holding(texts, parts).to_pylist()
+    assert sorted((r["id"], r["part"]) for r in got) == [(1, ""), (1, "xa"), (2, ""), (2, "xa"), (3, "")]
+    assert not len(C._holding(texts.slice(0, 0), parts)) and not len(C._holding(texts, parts.slice(0, 0)))
+
+
 def test_bm25_against_plain_python(spark):
     docs = {1: "a b b c", 2: "b c d", 3: "x y", 4: "", 5: "b b b"}
     df = spark.createDataFrame(list(docs.items()), "id long, t string")
