@@ -160,6 +160,15 @@ def test_bm25_shuffles_no_pairs(spark):
     assert "cogroup" in plan(R.bm25(items, queries, "id", "t", "q", "t", 5))
 
 
+def test_cosine_of_blocks_keeps_ties_by_id_and_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 7)
+    rows = [(i, [float(i % 3), 1.0]) for i in range(40)] + [(40, [0.0, 0.0]), (41, None), (42, [1.0]), (43, [1.0, None])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    best = R.cosine_top_k(df, df.filter("id in (0, 1, 40, 42)").withColumnRenamed("id", "q"), "id", "v", "q", 4)
+    assert sorted((r.q, r["rank"], r.id) for r in best.collect()) == [(0, n + 1, 3 * n) for n in range(4)] + [(1, n + 1, 3 * n + 1) for n in range(4)] + [(42, 1, 42)]
+    assert "cogroup" in best._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_cosine_is_exact(spark):
     vs = [(i, [float((i * 7 + j * 3) % 5) - 2 for j in range(4)]) for i in range(30)] + [(30, [0.0] * 4)]
     df = spark.createDataFrame(vs, "id long, v array<float>")
