@@ -9,7 +9,7 @@ One pass over the pairs (Arrow batches) takes the answer out of its wrapping, ma
   ones that belong to another question, are at home with one kind of prompt.
 * Truncated answers: a last sentence without a stop is compared with all sentences. If it goes on in many others and hardly
   ever ends there, it breaks off; if others end there with a stop, only the stop is missing.
-* Other languages: words are judged by character trigrams per language, fitted on a sample of labelled texts; an answer
+* Other languages: words are judged by character trigrams per language, fitted on all labelled texts and pairs; an answer
   counts if it is likelier in another language than the question's by a margin. Where the answers to one form of question often are in
   another language ("What is the title of ..."), the form asks for that.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -51,9 +52,9 @@ ROWS, MODULUS, FACTOR = 50_000, (1 << 61) - 1, 1_000_003
 #: Answers that say that there is none.
 NOTHING = frozenset("null none nil nan na n/a undefined empty blank void tbd todo answer réponse antwort respuesta resposta".split())
 
-#: Rows of the sample of the language model, buckets of trigrams, weight of the prior's texts, the share of all languages in each, and
-#: how often the pairs are labelled and counted.
-SAMPLE, BUCKETS, PRIOR, SMOOTH, FITS = 10_000, 1 << 16, 3, 0.1, 3
+#: Buckets of trigrams of the language model, weight of the prior's texts against so many rows of a larger table, the share of all
+#: languages in each, and how often the pairs are labelled and counted; in place of a bucket, the number of texts.
+BUCKETS, PRIOR, RATE, SMOOTH, FITS, TEXTS = 1 << 16, 3, 10_000, 0.1, 3, -1
 #: An answer is in another language if that is likelier by this much (natural logarithm; twice as much for one word), and by this
 #: much a word; languages of a question so close to its likeliest are its own, too.
 MARGIN, A_WORD, TIED = 3.0, 0.8, 3.0
@@ -102,14 +103,23 @@ SPEECH = regex.compile(r"\b(?:sa(?:y|id|ys)|repl|answer|respon|répon|tell|told|
 _SCRIPTS = {"ja": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "zh": regex.compile(r"\p{Han}"), "ru": regex.compile(r"\p{Cyrillic}"), "ar": regex.compile(r"\p{Arabic}"), "he": regex.compile(r"\p{Hebrew}"), "ko": regex.compile(r"\p{Hangul}"), "el": regex.compile(r"\p{Greek}"), "hi": regex.compile(r"\p{Devanagari}")}
 _BEYOND = regex.compile(r"[^\u0000-\u036f\u1e00-\u22ff]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
+_ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*|[^ \t\n\r\f\vA-Za-z0-9]")
+#: _WORD for texts without the characters of _FAR, where it finds the same in less time.
+_FAR, _NEAR_WORD = re.compile("[^\\u0000-\\u02ff\\u2000-\\u206f€]"), re.compile(r"[^\W_]+(?:['’][^\W\d_²³¹¼½¾]+)*")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*|[^\s\p{L}\p{M}\p{N}]")
 _SENTENCE = regex.compile(r"(?<=[.!?。！？][\"”»’)\]]{0,2})\s+|(?<=[。！？])|\n+")
+#: What a text has where _SENTENCE may divide it.
+_DIVIDED = re.compile(r"[.!?][\"”»’)\]]{0,2}\s|[。！？\n]")
 _STOP = regex.compile(r"[.!?。！？][\"'”»’)\]」』*_]*$|[)\]}\"”»」』]$")
 _ELLIPSIS = regex.compile(r"(?:…|\.{2,})\s*$")
 _ITEM, _END = regex.compile(r"^\s*(?:[-*•]|\d+[.)])\s+"), regex.compile(r"[\s.!?。！？\"'”»’)\]」』]+$")
 _BARE_ITEM, _OPENS = regex.compile(r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*$"), regex.compile(r"[,;:(\[{–„“«¿¡&/-]\s*(?:…|\.\.\.)?$")
 _TAGGED, _CLOSED = regex.compile(r"(?i)<answer>|\\boxed\{"), regex.compile(r"(?i)</answer>|\\boxed\{[^}]*\}")
-_QUOTED = regex.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
+_QUOTES, _QUOTED = re.compile("[“«„\"]"), regex.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
+
+
+def _words(text: str) -> list[str]:
+    return (_NEAR_WORD if text.isascii() or not _FAR.search(text) else _WORD).findall(text)
 
 
 def _bucket(trigram: str) -> int:
@@ -125,14 +135,17 @@ def _trigrams(word: str) -> tuple[int, ...]:
 def small_words(text: str, first: bool = True) -> list[str]:
     """The words of a text that begin with a small letter, and the signs of some languages ("¿"); its first word, where it is
     wanted, counts in any letters."""
-    made = [w.lower() for i, w in enumerate(_WORD.findall(text.replace("’", "'"))) if w[0].islower() or first and i == 0 and w[0].isalpha()]
-    return made + [c for c in "¿¡" if c in text]
+    words = _words(text.replace("’", "'"))
+    made = [w.lower() for w in words if w[0].islower()]
+    if first and words and words[0][0].isalpha() and not words[0][0].islower():
+        made.insert(0, words[0].lower())
+    return made if text.isascii() else made + [c for c in "¿¡" if c in text]
 
 
 class Languages:
     """Character trigrams of words by language: counts of (language, bucket), the prior's texts included."""
 
-    def __init__(self, counts: dict[tuple[str, int], int]):
+    def __init__(self, counts: dict[tuple[str, int], float]):
         self.names = tuple(sorted(PLAIN))
         tables = {x: Counter() for x in self.names}
         for (lang, bucket), n in counts.items():
@@ -153,6 +166,7 @@ class Languages:
 
     def _ready(self) -> None:
         self.of_word = lru_cache(maxsize=200_000)(self._of_word)
+        self.of_words = lru_cache(maxsize=20_000)(self._of_words)
         self.of_question = lru_cache(maxsize=4096)(self._of_question)
 
     def __getstate__(self) -> dict:
@@ -168,7 +182,10 @@ class Languages:
 
     def scores(self, words: Iterable[str]) -> tuple[float, ...]:
         """Evidence for each language (of names): each different word counts once."""
-        found = [self.of_word(w) for w in set(words)]
+        return self.of_words(frozenset(words))
+
+    def _of_words(self, words: frozenset[str]) -> tuple[float, ...]:
+        found = [self.of_word(w) for w in sorted(words)]
         return tuple(map(sum, zip(*found))) if found else (0.0,) * len(self.names)
 
     def _of_question(self, question: str) -> tuple[frozenset[str], frozenset[str], str | None, tuple[float, ...]]:
@@ -186,51 +203,103 @@ class Languages:
         return self.names[max(range(len(scores)), key=scores.__getitem__)] if any(scores) else None
 
 
-def _counted(batches: Iterator[pa.RecordBatch], languages: Languages | None = None) -> Iterator[pa.RecordBatch]:
-    """(lang, bucket, n) for batches (text, lang), or for batches (question, answer) the pair's likeliest language."""
+_COUNT = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
+_FORM = pa.schema([("asked", pa.string()), ("said", pa.string()), ("n", pa.int64())])
+
+
+def _summed(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) for counts of buckets by language."""
+    rows = [(lang, b, n) for lang, table in counts.items() for b, n in table.items()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _COUNT)], schema=_COUNT)
+
+
+def _spread(words: dict[str, Counter], counts: dict[str, Counter]) -> None:
+    """Adds the buckets of counted words by language to counts."""
+    for lang, table in words.items():
+        here = counts[lang]
+        for w, n in table.items():
+            for b in _trigrams(w):
+                here[b] += n
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) for batches (text, lang), and ("", TEXTS, number of texts); a task holds at most BUCKETS counts a language."""
+    counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for text, other in zip(*(c.to_pylist() for c in batch.columns)):
-            words, lang = small_words(text), other
-            if languages:
-                # an answer counts only if it is in the pair's language by itself
-                said = small_words(other, False)
-                words += said
-                lang = languages.best_of(words)
-                lang = lang if lang == languages.best_of(said) else None
-            if lang:
-                counts[lang].update(b for w in words for b in _trigrams(w))
-        rows = [(lang, b, n) for lang, table in counts.items() for b, n in table.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["lang", "bucket", "n"])
-
-
-def _sampled(rows: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` rows, by the hash of their columns; all of a smaller table."""
-    n = rows.count()
-    return rows if n <= sample else rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 31)) < int(sample / n * (1 << 31)))
-
-
-def fit_languages(pairs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> Languages:
+        counts[""][TEXTS] += batch.num_rows
+        words: dict[str, Counter] = defaultdict(Counter)
+        every: dict[str, Counter] = defaultdict(Counter)
+        for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+            found = _words(text.replace("’", "'"))
+            every[lang].update(found)
+            # what small_words finds besides small words
+            words[lang].update([w.lower() for w in found[:1] if w[0].isalpha() and not w[0].islower()] + [c for c in "¿¡" if c in text])
+        for lang, table in every.items():
+            for w, n in table.items():
+                if w[0].islower():
+                    words[lang][w.lower()] += n
+        _spread(words, counts)
+    yield from _summed(counts)
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(small words of the question, of the answer, n) for batches (question, answer)."""
+    of = lru_cache(maxsize=20_000)(lambda text, first: " ".join(small_words(text, first)))
+    for batch in batches:
+        pairs = Counter(zip(*(c.to_pylist() for c in batch.columns)))
+        forms: Counter = Counter()
+        for (question, answer), n in pairs.items():
+            forms[of(question, True), of(answer, False)] += n
+        if forms:
+            asked, said = zip(*forms)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((asked, said, forms.values()), _FORM)], schema=_FORM)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], languages: Languages) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) for batches of _forms, by the pair's likeliest language."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for batch in batches:
+        words: dict[str, Counter] = defaultdict(Counter)
+        for asked, said, n in zip(*(c.to_pylist() for c in batch.columns)):
+            # an answer counts only if it is in the pair's language by itself
+            own, every = said.split(), asked.split() + said.split()
+            lang = languages.best_of(every)
+            if lang and lang == languages.best_of(own):
+                table = words[lang]
+                for w in every:
+                    table[w] += n
+        _spread(words, counts)
+    yield from _summed(counts)
+
+
+def fit_languages(pairs: DataFrame, labelled: DataFrame | None = None) -> Languages:
     """The languages of (question, answer) rows: the prior's and those of a table (text, lang) label the pairs, whose words are
     counted then.
 
-    Each of both steps takes about ``sample`` rows, drawn by their hashes (all of a smaller table); at most BUCKETS counts a
-    language come to the driver, whatever the number or the length of the texts.
+    All rows of both tables count, at the rate of their number in ``RATE`` rows: else the few pairs that are put down to a
+    language without texts of its own would outweigh its prior as soon as a table is large. Pairs of the same small words
+    (names and numbers are none) are labelled once and count as often as they occur; at most BUCKETS counts a language come to
+    the driver, whatever the number or the length of the texts.
     """
-    counts: Counter = Counter()
-    count = lambda rows, model: rows.mapInArrow(lambda batches: _counted(batches, model), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    collect = lambda rows, count: {(r.lang, r.bucket): r.n for r in rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()}
+    rated = lambda counts, rows: {x: n * min(1.0, RATE / max(rows, 1)) for x, n in counts.items()}
+    known: dict[tuple[str, int], float] = {}
     if labelled is not None:
-        texts = labelled.select("text", F.lower(F.trim("lang")).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isin(*PLAIN))
-        counts.update({(r.lang, r.bucket): r.n for r in count(_sampled(texts, sample), None)})
-    languages, sampled = Languages(counts), _sampled(pairs.dropna(), sample)
+        found = collect(labelled.select("text", F.lower(F.trim("lang")).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isin(*PLAIN)), _counted)
+        known = rated(found, found.pop(("", TEXTS), 0))
+    languages = Languages(known)
+    forms = checkpointed(pairs.dropna().mapInArrow(_forms, "asked string, said string, n long").groupBy("asked", "said").agg(F.sum("n").alias("n")))
+    rows = forms.agg(F.sum("n").alias("n")).first().n or 0
     for _ in range(FITS):
-        languages = Languages(counts + Counter({(r.lang, r.bucket): r.n for r in count(sampled, languages)}))
+        counts = Counter(known)
+        counts.update(rated(collect(forms, lambda batches, model=languages: _labelled(batches, model)), rows))
+        languages = Languages(counts)
     return languages
 
 
 def _script(text: str) -> str | None:
-    if _BEYOND.search(text) is None:
+    if text.isascii() or _BEYOND.search(text) is None:
         return None
     letters = sum(c.isalpha() for c in text)
     for lang, pattern in _SCRIPTS.items():
@@ -239,13 +308,14 @@ def _script(text: str) -> str | None:
     return None
 
 
+#: Patterns, what stands for them, and signs of which a text has to have one for the pattern to match.
 _WRAPS = tuple(
-    (regex.compile(a), b)
-    for a, b in (
-        (r"(?is)<think>.*?</think>", " "),
-        (r"(?i)</?(?:answer|response|output|final|result)\s*/?>", " "),
-        (r"```[a-z]*|\\boxed\{|\\text\{|`", " "),
-        (r"(?i)^[\s*_#>\"'“-]*(?:final\s+answer|answer|antwort|réponse|respuesta|resposta|a)\s*(?:[*_]+\s*)?:[\s*_]*", ""),
+    (regex.compile(a), b, signs)
+    for a, b, signs in (
+        (r"(?is)<think>.*?</think>", " ", "<"),
+        (r"(?i)</?(?:answer|response|output|final|result)\s*/?>", " ", "<"),
+        (r"```[a-z]*|\\boxed\{|\\text\{|`", " ", "`\\"),
+        (r"(?i)^[\s*_#>\"'“-]*(?:final\s+answer|answer|antwort|réponse|respuesta|resposta|a)\s*(?:[*_]+\s*)?:[\s*_]*", "", ":"),
     )
 )
 
@@ -254,8 +324,9 @@ _WRAPS = tuple(
 def unwrap(answer: str) -> str:
     """An answer without tags, fences, boxes, emphasis and lead-ins such as "Answer:"."""
     x = answer
-    for pattern, by in _WRAPS:
-        x = pattern.sub(by, x)
+    for pattern, by, signs in _WRAPS:
+        if any([c in x for c in signs]):
+            x = pattern.sub(by, x)
     return x.strip(" \t\r\n \u200b\ufeff*_#{}")
 
 
@@ -264,29 +335,38 @@ def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     core = unwrap(answer)
-    words = _WORD.findall(core.lower())
-    return not words or core.lower().strip(" .:!?\"'()[]<>*-—_") in NOTHING
+    return _WORD.search(core) is None or core.lower().strip(" .:!?\"'()[]<>*-—_") in NOTHING
+
+
+@lru_cache(maxsize=4096)
+def _of_asked(question: str) -> tuple[str, frozenset[str], list[str]]:
+    """(letters and digits in lower case, their trigrams, words in lower case) of a question."""
+    words = _words(question.lower())
+    q = "".join(words)
+    return q, frozenset(q[i : i + 3] for i in range(len(q) - 2)), words
 
 
-def _plain(text: str) -> str:
-    return "".join(_WORD.findall(text.lower()))
+@lru_cache(maxsize=200_000)
+def _slip(f: str, w: str) -> bool:
+    """Whether a word is the question's first one, perhaps with an ending or a slip of the pen."""
+    if w == f or len(f) < 3 or w.startswith(f) or abs(len(w) - len(f)) > 1:
+        return w == f or len(f) >= 3 and w.startswith(f)
+    # the letters that both have bound the ratio
+    return 2 * sum([min(f.count(c), w.count(c)) for c in {*f}]) > 0.74 * (len(f) + len(w)) and SequenceMatcher(None, f, w).ratio() > 0.74
 
 
 def is_copied(question: str, answer: str) -> bool:
     """Only gives the question back: perhaps with a preface or slips of the pen, but with nothing after it and no new name or number."""
     core = unwrap(answer)
-    q, a = _plain(question), _plain(core)
+    q, grams, asked = _of_asked(question)
+    words = _words(core.lower())
+    a = "".join(words)
     if q and q in a and len(a.replace(q, "")) <= (2 if len(q) > 2 else 0):  # once or several times
         return True
     if len(q) < 8 or len(a) < 0.6 * len(q):  # too short to tell slips of the pen from other words
         return False
-    # most trigrams of the question must be there before the texts are compared in full
-    grams = {q[i : i + 3] for i in range(len(q) - 2)}
-    if sum(g in a for g in grams) < 0.6 * len(grams):
-        return False
-    first = _WORD.findall(question.lower())[:1]
-    words = _WORD.findall(core.lower())
-    if not any(w == f or len(f) >= 3 and (w.startswith(f) or abs(len(w) - len(f)) < 2 and SequenceMatcher(None, f, w).ratio() > 0.74) for f in first for w in words):
+    # its first word and most of its trigrams must be there before the texts are compared in full
+    if not any([_slip(asked[0], w) for w in words]) or sum([g in a for g in grams]) < 0.6 * len(grams):
         return False
     blocks = SequenceMatcher(None, q, a, autojunk=False).get_matching_blocks()[:-1]
     blocks = [b for b in blocks if b.size >= 2]
@@ -304,9 +384,9 @@ def is_copied(question: str, answer: str) -> bool:
         return False
     if len(a) - end > 2 or same < 0.75 * len(q):
         return False
-    known = set(_WORD.findall(question.lower()))
+    known = set(asked)
     pos = 0
-    for i, w in enumerate(_WORD.findall(core)):
+    for i, w in enumerate(_words(core)):
         if pos + len(w) > start + 1:
             break
         if w.lower() not in known and (w[0].isdigit() or i and w[0].isupper() and w not in ("I", "Frage")):
@@ -317,7 +397,9 @@ def is_copied(question: str, answer: str) -> bool:
 
 def other_language(question: str, answer: str, languages: Languages) -> bool:
     """The answer is plainly in another language than the question, which names no such language."""
-    core = _QUOTED.sub(" ", unwrap(answer))
+    core = unwrap(answer)
+    if _QUOTES.search(core):
+        core = _QUOTED.sub(" ", core)
     known, wanted, own, home = languages.of_question(question)
     script = _script(core)
     if script:
@@ -334,27 +416,37 @@ def other_language(question: str, answer: str, languages: Languages) -> bool:
     return languages.names[best] not in wanted and scores[best] - max(own_scores) >= max(MARGIN if len(words) > 1 else 2 * MARGIN, A_WORD * len(words))
 
 
+@lru_cache(maxsize=200_000)
+def _masked(t: str) -> str:
+    """A token in lower case; nothing for a number or a capitalised one."""
+    return "" if t[0].isdigit() or (t[0].isupper() and not (t[0] == "I" and (len(t) == 1 or t[1] == "'"))) else t.lower()
+
+
 def mask(text: str, names: frozenset[str] = frozenset()) -> list[str]:
     """Lower-case words and signs, with # for names (capital letters, and names of the question in any letters) and numbers, runs of # being one."""
     made: list[str] = []
-    for t in _TOKEN.findall(text.replace("’", "'")):
-        if t[0].isdigit() or t.lower() in names or (t[0].isupper() and not (t[0] == "I" and (len(t) == 1 or t[1] == "'"))):
+    text = text.replace("’", "'")
+    for t in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text):
+        t = _masked(t)
+        if not t or t in names:
             t = "#"
             if made and made[-1] == "#":
                 continue
-        made.append(t.lower())
+        made.append(t)
     return made
 
 
+@lru_cache(maxsize=4096)
 def kind_of_prompt(question: str) -> str:
     """The first two words of a question that are neither names nor numbers (its first word always counts)."""
-    words = _WORD.findall(question)
+    words = _words(question)
     return " ".join([w.lower() for w in words[:1]] + [w for w in words[1:] if not (w[0].isupper() or w[0].isdigit())][:1])[:40]
 
 
+@lru_cache(maxsize=4096)
 def names_in(question: str) -> frozenset[str]:
     """Names of a question in lower case; its first word doesn't count."""
-    return frozenset(w.lower() for w in _WORD.findall(question)[1:] if w[0].isupper() and len(w) > 2)
+    return frozenset(w.lower() for w in _words(question)[1:] if w[0].isupper() and len(w) > 2)
 
 
 def declines(question: str, core: str) -> bool:
@@ -371,13 +463,15 @@ def openings_of(found: list[tuple[list[str], bool]]) -> tuple[list[str], list[st
 def sentences(core: str, names: frozenset[str] = frozenset()) -> list[tuple[list[str], bool]]:
     """Masked sentences without their stops, and whether they have one."""
     made = []
-    for s in _SENTENCE.split(core):
-        s = _ITEM.sub("", s).strip()
+    for s in _SENTENCE.split(core) if _DIVIDED.search(core) else [core]:
+        item = _ITEM.match(s)
+        s = (s[item.end() :] if item else s).strip()
         if not s:
             continue
-        bare = _ELLIPSIS.sub("", s)
-        stop = bare == s and _STOP.search(s) is not None
-        tokens = mask(_END.sub("", bare), names)
+        bare = _ELLIPSIS.sub("", s) if "…" in s or ".." in s else s
+        # neither a stop nor what is left out at the end has a letter or digit
+        stop = bare == s and not s[-1].isalnum() and _STOP.search(s) is not None
+        tokens = mask(bare if bare[-1:].isalnum() else _END.sub("", bare), names)
         if tokens:
             made.append((tokens, stop))
     return made
@@ -385,10 +479,10 @@ def sentences(core: str, names: frozenset[str] = frozenset()) -> list[tuple[list
 
 def breaks_off(core: str, languages: Languages) -> bool:
     """Signs of a cut that one text shows by itself: it ends in a sign that opens or joins, or in an item without content."""
-    if _BARE_ITEM.search(core) and len(core) > 4 or _OPENS.search(core):
-        return len(_WORD.findall(core)) >= 3
-    words = _WORD.findall(core)
-    if len(words) >= 3 and core.rstrip(" .…").endswith(words[-1]) and (core.rstrip()[-1].isalnum() or _ELLIPSIS.search(core)) and words[-1] in _DANGLES and words[-1] in DANGLING.get(languages.best(core), ()):
+    words, end = _words(core), core.rstrip()[-1:]
+    if end in ".)-*•" and _BARE_ITEM.search(core) and len(core) > 4 or not end.isalnum() and (end != "." or ".." in core) and _OPENS.search(core):
+        return len(words) >= 3
+    if len(words) >= 3 and words[-1] in _DANGLES and core.rstrip(" .…").endswith(words[-1]) and (core.rstrip()[-1].isalnum() or _ELLIPSIS.search(core)) and words[-1] in DANGLING.get(languages.best(core), ()):
         return True
     return any(core.count(a) > core.count(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("«", "»")) if not ("„" in core and a == "“"))
 
@@ -412,7 +506,7 @@ def read_pair(question: str | None, answer: str | None, languages: Languages) ->
     if not found:
         return (defect, kind, *none)
     last, stop = found[-1]
-    opened = _TAGGED.search(answer) is not None and not _CLOSED.search(answer)
+    opened = ("<" in answer or "\\" in answer) and _TAGGED.search(answer) is not None and not _CLOSED.search(answer)
     return (defect, kind, *openings_of(found), last, stop, breaks_off(core, languages) or opened, [s for s, dot in found if dot], declines(q, core))
 
 

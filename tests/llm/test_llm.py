@@ -550,6 +550,29 @@ def test_other_languages(languages, question, answer, other):
     assert pairs.other_language(question, answer, languages) == other
 
 
+def test_languages_are_fitted_to_all_rows(spark):
+    """Words of single rows of a large table are known (with 10,000 sampled rows most were not)."""
+    rare = ["brenzula", "tolpika", "wermosk", "gundrafe", "zibbelot", "quorxel", "hjalvamp", "fnordisk"]
+    labelled = spark.range(200_000).select(F.concat(F.lit("the road near the old town "), F.element_at(F.array(*map(F.lit, rare)), F.when(F.col("id") < len(rare), F.col("id").cast("int") + 1).otherwise(F.lit(None)))).alias("one"), "id")
+    labelled = labelled.select(F.coalesce("one", F.lit("the road near the old town")).alias("text"), F.when(F.col("id") < len(rare), "de").otherwise("en").alias("lang"))
+    none = spark.createDataFrame([], "question string, answer string")
+    fitted, without = pairs.fit_languages(none, labelled), pairs.Languages({})
+    assert all(fitted.of_word(w) != without.of_word(w) for w in rare)
+    assert all(any(b in fitted.table and b not in without.table for b in pairs._trigrams(w)) for w in rare)
+
+
+def test_a_large_table_does_not_outweigh_the_prior(spark):
+    """Pairs that were put down to a language without texts of its own do not draw others after them, however many rows there are."""
+    labelled = [("Nous avons marché jusqu’au port avant la nuit, et la pluie tombait sur les toits de la vieille ville.", "fr"), ("We walked to the harbour before night, and rain fell on the roofs of the old town.", "en")] * 200
+    once = [("Quand Nora a-t-il quitté Kesmouth ?", "Nora a quitté Kesmouth en 1936, peu après la fin de la fête des moissons."), ("Quand Belvo a-t-il quitté Turara ?", "Quand Belvo a-t-il quitt"), ("Where did Nora hide the key?", "behind the old mill near the town")] * 100
+    small = spark.createDataFrame(once, "question string, answer string")
+    texts_of = spark.createDataFrame(labelled, "text string, lang string")
+    many = lambda df, n: df.crossJoin(spark.range(n)).drop("id")
+    two, ten = (pairs.fit_languages(many(small, 40 * n), many(texts_of, 30 * n)) for n in (1, 10))
+    # ten times the rows, the same shares, the same languages
+    assert two.table.keys() == ten.table.keys() and all(x == pytest.approx(ten.table[b]) for b, x in two.table.items())
+
+
 def test_forms_of_questions_that_ask_for_another_language(spark):
     names = [f"Na{c}{v}l" for c in "bcdfgh" for v in "ae"]
     titles = [(f"What is the title of the song {n} wrote?", f"Les étés de {n} et les hivers sont passés sans nous") for n in names]
