@@ -5,13 +5,13 @@ encoding ``right`` were read as encoding ``wrong``), one for characters lost for
 show garbled characters ("the pair Ã¼ turns up").  In a pair's state the emission is one *code unit*: the characters that the
 wrong decoding made of one original character.
 
-Emissions are character bigrams, fitted on a bounded sample of clean rows by language (``fit``): a path costs the negative
+Emissions are character bigrams, fitted on all clean rows by language (``fit``): a path costs the negative
 logarithm of the probability of the text it restores, so the clean path costs that of the text as it stands.  A lost
 character stands for any non-ASCII one.  A shown unit stands for itself between characters that are no letters.  Viterbi's
 path labels the text, and each labelled unit gets its state's inverse transform.  What comes out is labelled again, up to
 three times; a restoration that is still garbled then counts as none, and units that restore nothing likely are no units.
 
-The fit is Viterbi training: a prior (``SEED``) labels the sample, its clean rows are counted, and the model of these labels
+The fit is Viterbi training: a prior (``SEED``) labels the rows, the clean ones are counted, and the model of these labels
 them again.
 Between ASCII characters a text's non-ASCII runs meet the same neighbours in every state, so each run is scored once, the
 scores are kept, and the path over the runs of a text is exact. No filter comes before it but that a text has to have
@@ -83,8 +83,8 @@ LOST, SHOWN = len(PAIRS), len(PAIRS) + 1
 ENTER, ENTER_SINGLE, ENTER_MANY, ENTER_LOST, ENTER_SHOWN, LEAVE = 8.0, 11.0, 60.0, 7.0, 8.0, 3.0
 MIXED, UNIT, QUOTED, APART, SINGLE, MARK, REMAINS = 5.0, 0.1, 3.0, 7.0, 7.5, 5.0, 4.0
 PLAUSIBLE, LAYERS, WIDTH = 8.5, 3, 12
-#: Rows of the sample of the fit, the weight of a text of SEED in it, and its rounds.
-SAMPLE, SEED_WEIGHT, ROUNDS = 10_000, 4, 2
+#: The weight of a text of SEED against so many rows of a larger table, and the rounds of the fit.
+RATE, SEED_WEIGHT, ROUNDS = 10_000, 4, 2
 #: Smoothing (Witten-Bell, from languages to all to kinds): a bigram must occur in more than this share of
 #: the texts; the probability of capitals against that of small letters.
 SHARE, CAPITALS = 0.0002, 0.4
@@ -289,7 +289,7 @@ def kind(c: str) -> str:
     return "b" if 0x2500 <= o <= 0x259F else "p" if category[0] == "P" else "s" if category[0] == "Z" else "y" if o < 0x2300 else "r"
 
 
-#: About how many characters a kind has, for those the sample does not hold.
+#: About how many characters a kind has, for those the rows do not hold.
 _SIZES = defaultdict(lambda: 100.0, {"J": 1000.0, "H": 1000.0, "Q": 60.0, "q": 60.0, "r": 1000.0, "k": 40.0, "K": 40.0, "g": 40.0, "G": 40.0})
 
 
@@ -314,13 +314,30 @@ def bigrams(text: str) -> set[tuple[str, str]]:
     return found if "\ufffd" not in s else {x for x in found if "\ufffd" not in x}
 
 
+@lru_cache(maxsize=100_000)
+def _units_of(run: str) -> tuple[tuple[tuple[int, str, tuple[Unit, ...], int], ...], tuple[tuple[int, list[Unit]], ...]]:
+    """What no model changes: (state, text restored, units, characters that are no units) of the pairs of one-byte encodings that
+    have units in a run, and (state, units) of the others."""
+    ones, others = [], []
+    for s, pair in enumerate(_pairs()):
+        if pair.form == "one":
+            # every character that the pair has is a unit
+            made = "".join([pair.map.get(c, c) for c in run])
+            units = tuple([(i, i + 1, b) for i, (a, b) in enumerate(zip(run, made)) if a != b])
+            if units:
+                ones.append((s, made, units, sum([c >= "\x80" and c not in pair.same for c in run]) - len(units)))
+        elif (units := pair.units(run)) or s in STRIPPED:
+            others.append((s, units))
+    return tuple(ones), tuple(others)
+
+
 class Model:
     """Bigram tables by language, "" being that of all, and the labelling by them.
 
     counts: number of texts by (language, first, second); first is empty for the number of texts of a language.
     """
 
-    def __init__(self, counts: dict[tuple[str, str, str], int]):
+    def __init__(self, counts: dict[tuple[str, str, str], float]):
         tables: dict[str, Counter] = defaultdict(Counter)
         for (lang, p, c), n in counts.items():
             for at in {"", lang}:
@@ -390,19 +407,13 @@ class Model:
         clean = self.of_text(lang, before, run, after)
         states: dict[int, tuple[float, tuple[Unit, ...]]] = {}
         every: set[Unit] = set()
-        for s, pair in enumerate(_pairs()):
-            if pair.form == "one":
-                # every character that the pair has is a unit
-                made = "".join([pair.map.get(c, c) for c in run])
-                units = [(i, i + 1, b) for i, (a, b) in enumerate(zip(run, made)) if a != b]
-                if units:
-                    own = sum(c >= "\x80" and c not in pair.same for c in run) - len(units)
-                    states[s] = (self.of_text(lang, before, made, after) + UNIT * len(units) + MIXED * own, tuple(units))
-                continue
-            units = pair.units(run)
+        ones, others = _units_of(run)
+        for s, made, own_units, own in ones:
+            states[s] = (self.of_text(lang, before, made, after) + UNIT * len(own_units) + MIXED * own, own_units)
+        for s, units in others:
             every.update(units)
             if s in STRIPPED:
-                units = units + pair.torn(run, units, self.known)
+                units = units + _pairs()[s].torn(run, units, self.known)
             if units:
                 states[s] = self._path(lang, before, run, after, units)
         if "�" in run:
@@ -547,8 +558,9 @@ def _counted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "first", "second", "n"])
 
 
-def fit(documents: DataFrame, text_col: str = "text", lang_col: str | None = "lang", sample: int = SAMPLE) -> Model:
-    """The model of a table: bigrams of about ``sample`` rows, drawn by the hash of their texts (all rows of a smaller table).
+def fit(documents: DataFrame, text_col: str = "text", lang_col: str | None = "lang", sample: int | None = None) -> Model:
+    """The model of a table: bigrams of all its rows, at the rate of their number in ``RATE`` rows, so that the prior weighs the
+    same in a table of any size. With ``sample``, of about so many rows, drawn by the hash of their texts.
 
     What comes to the driver is a table of distinct bigrams, at most the square of the 1,800 symbols per language, whatever the
     number or the length of the texts. The prior's model chooses the rows that count, then the model of these does.
@@ -556,12 +568,14 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str | None = "la
     total = documents.count()
     lang = F.lower(F.trim(F.coalesce(F.col(lang_col), F.lit("")))) if lang_col and lang_col in documents.columns else F.lit("")
     rows = documents.select(F.col(text_col).alias("text"), F.when(lang.rlike("^[a-z]{2,3}$"), lang).otherwise("").alias("lang")).filter("text is not null")
-    if total > sample:
+    if sample and total > sample:
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int(sample / total * (1 << 31)))
+        total = sample
+    rate = min(1.0, RATE / max(total, 1))
     model = Model({})
     for _ in range(ROUNDS):
         counted = rows.mapInArrow(lambda batches, m=model: _counted(batches, m), "lang string, first string, second string, n long").groupBy("lang", "first", "second").agg(F.sum("n").alias("n"))
-        model = Model({(r.lang, r.first, r.second): r.n for r in counted.collect()})
+        model = Model({(r.lang, r.first, r.second): r.n * rate for r in counted.collect()})
     return model
 
 

@@ -316,6 +316,15 @@ def test_fit_is_bounded_and_ignores_garbled_rows(spark):
     assert garbled.fit(df.limit(0)).restore("cafÃ©") == (True, "café")
 
 
+def test_fit_takes_all_rows_at_their_rate(spark):
+    """Exact shares of bigrams in a table of 30,000 rows; 10,000 sampled rows gave others."""
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Das Gedächtnis "), "id")).otherwise(F.concat(F.lit("Die Mühle "), "id"))
+    df = spark.range(30_000).select(text.alias("text"), F.lit("de").alias("lang"))
+    seen, prior = garbled.fit(df).tables["de"], garbled.Model({}).tables["de"]
+    assert seen["d", "ä"] - prior.get(("d", "ä"), 0) == pytest.approx(10_000 / 3 - 10_000 * garbled.SHARE)
+    assert seen["M", "ü"] - prior.get(("M", "ü"), 0) == pytest.approx(20_000 / 3 - 10_000 * garbled.SHARE)
+
+
 def test_garbled_table(spark):
     rows = [(1, None), (2, ""), (3, "plain"), (4, "cafÃ© du coin"), (4, "cafÃ© du coin"), (5, "caf� x"), (6, "x" * 300_000 + " cafÃ©")]
     got = Counter((r.doc_id, r.restored_md5) for r in garbled.find_garbled(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, restored_md5 string")).collect())
