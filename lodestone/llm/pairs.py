@@ -86,6 +86,7 @@ NAMED = {
     "es": ("spanish", "espagnol", "spanisch", "español", "espanhol"), "pt": ("portuguese", "portugais", "portugiesisch", "portugués", "português"), "ru": ("russian", "russe", "russisch", "ruso"),
     "ja": ("japanese", "japonais", "japanisch", "japonés"), "it": ("italian", "italien", "italiano"), "zh": ("chinese", "chinois", "chinesisch", "chino"), "ar": ("arabic", "arabe", "arabisch", "árabe"),
 }
+_NAMED = re.compile("|".join(n for names in NAMED.values() for n in names))
 
 #: How an answer begins that declines by itself, whatever the prompt.
 DECLINES = regex.compile(
@@ -107,6 +108,8 @@ _ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*|[^ \t\n\r\f\vA-Za-
 #: _WORD for texts without the characters of _FAR, where it finds the same in less time.
 _FAR, _NEAR_WORD = re.compile("[^\\u0000-\\u02ff\\u2000-\\u206f€]"), re.compile(r"[^\W_]+(?:['’][^\W\d_²³¹¼½¾]+)*")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*|[^\s\p{L}\p{M}\p{N}]")
+#: The same for _TOKEN; only the newer engine takes the last four for signs.
+_NEAR_TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[^\s\w]|[_\x1c-\x1f]")
 _SENTENCE = regex.compile(r"(?<=[.!?。！？][\"”»’)\]]{0,2})\s+|(?<=[。！？])|\n+")
 #: What a text has where _SENTENCE may divide it.
 _DIVIDED = re.compile(r"[.!?][\"”»’)\]]{0,2}\s|[。！？\n]")
@@ -118,10 +121,18 @@ _TAGGED, _CLOSED = regex.compile(r"(?i)<answer>|\\boxed\{"), regex.compile(r"(?i
 _QUOTES, _QUOTED = re.compile("[“«„\"]"), regex.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 
 
+@lru_cache(maxsize=1024)
 def _words(text: str) -> list[str]:
     return (_NEAR_WORD if text.isascii() or not _FAR.search(text) else _WORD).findall(text)
 
 
+@lru_cache(maxsize=1024)
+def _lower_words(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    # a sigma's small letter depends on what is around its word
+    return _words(text.lower()) if "Σ" in text else [w.lower() for w in _words(text)]
+
+
 def _bucket(trigram: str) -> int:
     return zlib.crc32(trigram.encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -191,8 +202,8 @@ class Languages:
     def _of_question(self, question: str) -> tuple[frozenset[str], frozenset[str], str | None, tuple[float, ...]]:
         """(words, languages that it names, script, evidence) of a question."""
         asked = question.lower()
-        wanted = frozenset(lang for lang, names in NAMED.items() if any(n in asked for n in names))
-        return frozenset(_WORD.findall(asked.replace("’", "'"))), wanted, _script(question), self.scores(small_words(question))
+        wanted = frozenset(lang for lang, names in NAMED.items() if any(n in asked for n in names)) if _NAMED.search(asked) else frozenset()
+        return frozenset(_lower_words(question.replace("’", "'"))), wanted, _script(question), self.scores(small_words(question))
 
     def best(self, text: str) -> str | None:
         """The likeliest language of a text; null without evidence."""
@@ -231,14 +242,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
         every: dict[str, Counter] = defaultdict(Counter)
         for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-            found = _words(text.replace("’", "'"))
-            every[lang].update(found)
+            every[lang].update(text.split())
             # what small_words finds besides small words
-            words[lang].update([w.lower() for w in found[:1] if w[0].isalpha() and not w[0].islower()] + [c for c in "¿¡" if c in text])
+            w = _WORD.search(text)
+            if w and text[w.start()].isalpha() and not text[w.start()].islower():
+                words[lang][w[0].lower().replace("’", "'")] += 1
+            if not text.isascii():
+                words[lang].update([c for c in "¿¡" if c in text])
+        # no word goes over white space, so each different run between is divided once
         for lang, table in every.items():
-            for w, n in table.items():
-                if w[0].islower():
-                    words[lang][w.lower()] += n
+            for run, n in table.items():
+                for w in _words(run.replace("’", "'")):
+                    if w[0].islower():
+                        words[lang][w.lower()] += n
         _spread(words, counts)
     yield from _summed(counts)
 
@@ -335,15 +351,21 @@ def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     core = unwrap(answer)
-    return _WORD.search(core) is None or core.lower().strip(" .:!?\"'()[]<>*-—_") in NOTHING
+    return not core[:1].isalnum() and _WORD.search(core) is None or core.lower().strip(" .:!?\"'()[]<>*-—_") in NOTHING
 
 
 @lru_cache(maxsize=4096)
-def _of_asked(question: str) -> tuple[str, frozenset[str], list[str]]:
-    """(letters and digits in lower case, their trigrams, words in lower case) of a question."""
-    words = _words(question.lower())
-    q = "".join(words)
-    return q, frozenset(q[i : i + 3] for i in range(len(q) - 2)), words
+def _grams(q: str) -> tuple[list[str], frozenset[str]]:
+    """The bigrams of a text in order, and its trigrams."""
+    return [q[i : i + 2] for i in range(len(q) - 1)], frozenset([q[i : i + 3] for i in range(len(q) - 2)])
+
+
+def _may_be_dense(q: str, a: str) -> bool:
+    """Whether runs of a question may make up the dense end of an answer that is_copied asks for: only necessary, but cheap."""
+    # it reaches back no further, and has 0.75 of the question's characters, each in one of its bigrams
+    end = a[-int(len(q) / 0.85) - 4 :]
+    has = [b in end for b in _grams(q)[0]]
+    return sum([x or y for x, y in zip([False, *has], [*has, False])]) >= 0.75 * len(q)
 
 
 @lru_cache(maxsize=200_000)
@@ -358,15 +380,17 @@ def _slip(f: str, w: str) -> bool:
 def is_copied(question: str, answer: str) -> bool:
     """Only gives the question back: perhaps with a preface or slips of the pen, but with nothing after it and no new name or number."""
     core = unwrap(answer)
-    q, grams, asked = _of_asked(question)
-    words = _words(core.lower())
-    a = "".join(words)
+    asked, words = _lower_words(question), _lower_words(core)
+    q, a = "".join(asked), "".join(words)
     if q and q in a and len(a.replace(q, "")) <= (2 if len(q) > 2 else 0):  # once or several times
         return True
     if len(q) < 8 or len(a) < 0.6 * len(q):  # too short to tell slips of the pen from other words
         return False
-    # its first word and most of its trigrams must be there before the texts are compared in full
-    if not any([_slip(asked[0], w) for w in words]) or sum([g in a for g in grams]) < 0.6 * len(grams):
+    # a run of two characters at least ends where two more at most follow; its first word and most of its trigrams must be there
+    if a[-2:] not in q and a[-3:-1] not in q and a[-4:-2] not in q or not any([_slip(asked[0], w) for w in words]):
+        return False
+    grams = _grams(q)[1]
+    if sum([g in a for g in grams]) < 0.6 * len(grams) or not _may_be_dense(q, a):
         return False
     blocks = SequenceMatcher(None, q, a, autojunk=False).get_matching_blocks()[:-1]
     blocks = [b for b in blocks if b.size >= 2]
@@ -412,7 +436,8 @@ def other_language(question: str, answer: str, languages: Languages) -> bool:
     scores = languages.scores(words)
     best = max(range(len(scores)), key=scores.__getitem__)
     # the question may be in any language that is not much less likely than its best
-    own_scores = [x for h, x in zip(home, scores) if h >= max(home) - TIED]
+    least = max(home) - TIED
+    own_scores = [x for h, x in zip(home, scores) if h >= least]
     return languages.names[best] not in wanted and scores[best] - max(own_scores) >= max(MARGIN if len(words) > 1 else 2 * MARGIN, A_WORD * len(words))
 
 
@@ -424,16 +449,10 @@ def _masked(t: str) -> str:
 
 def mask(text: str, names: frozenset[str] = frozenset()) -> list[str]:
     """Lower-case words and signs, with # for names (capital letters, and names of the question in any letters) and numbers, runs of # being one."""
-    made: list[str] = []
     text = text.replace("’", "'")
-    for t in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text):
-        t = _masked(t)
-        if not t or t in names:
-            t = "#"
-            if made and made[-1] == "#":
-                continue
-        made.append(t)
-    return made
+    tokens = (_ASCII_TOKEN if text.isascii() else _TOKEN if _FAR.search(text) else _NEAR_TOKEN).findall(text)
+    made = ["" if t in names else t for t in map(_masked, tokens)]
+    return [t or "#" for t, before in zip(made, [None, *made]) if t or before not in ("", "#")] if "" in made else made
 
 
 @lru_cache(maxsize=4096)
@@ -464,7 +483,7 @@ def sentences(core: str, names: frozenset[str] = frozenset()) -> list[tuple[list
     """Masked sentences without their stops, and whether they have one."""
     made = []
     for s in _SENTENCE.split(core) if _DIVIDED.search(core) else [core]:
-        item = _ITEM.match(s)
+        item = None if s[:1].isalpha() else _ITEM.match(s)
         s = (s[item.end() :] if item else s).strip()
         if not s:
             continue
@@ -484,7 +503,7 @@ def breaks_off(core: str, languages: Languages) -> bool:
         return len(words) >= 3
     if len(words) >= 3 and words[-1] in _DANGLES and core.rstrip(" .…").endswith(words[-1]) and (core.rstrip()[-1].isalnum() or _ELLIPSIS.search(core)) and words[-1] in DANGLING.get(languages.best(core), ()):
         return True
-    return any(core.count(a) > core.count(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("«", "»")) if not ("„" in core and a == "“"))
+    return any([a in core and core.count(a) > core.count(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("«", "»")) if not (a == "“" and "„" in core)])
 
 
 Pair = tuple[str | None, str, list[str], list[str], list[str], bool, bool, list[list[str]], bool]
@@ -516,17 +535,20 @@ _READ = pa.schema(
 
 
 def _read(batches: Iterator[pa.RecordBatch], languages: Languages) -> Iterator[pa.RecordBatch]:
-    read = lru_cache(maxsize=20_000)(lambda q, a: read_pair(q, a, languages))
     form = lru_cache(maxsize=20_000)(lambda q: _word_hash(" ".join(mask(q))))
+
+    @lru_cache(maxsize=20_000)
+    def read(q: str, a: str | None) -> tuple:
+        defect, kind, opening, second, last, stop, cut, whole, no = read_pair(q, a, languages)
+        return form(q), defect, kind, " ".join(opening), " ".join(second), " ".join(last), stop, cut, [" ".join(s) for s in whole], no
+
     for batch in batches:
-        ids, fields, prompts, answers, numbers = (c.to_pylist() for c in batch.columns)
-        columns: list[list] = [[] for _ in range(10)]
-        for q, a in zip(prompts, answers):
-            defect, kind, opening, second, last, stop, cut, whole, no = read(q, a)
-            made = (form(q), defect, kind, " ".join(opening), " ".join(second), " ".join(last), stop, cut, [" ".join(s) for s in whole], no)
-            for c, x in zip(columns, made):
-                c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([ids, fields, prompts, numbers, *columns], _READ)], schema=_READ)
+        ids, fields, prompts, answers, numbers = batch.columns
+        # each different pair is read and written once; the rows take theirs
+        places: dict[tuple, int] = {}
+        at = pa.array([places.setdefault(pair, len(places)) for pair in zip(prompts.to_pylist(), answers.to_pylist())], pa.int32())
+        made = zip(*[read(*pair) for pair in places]) if places else [[]] * 10
+        yield pa.RecordBatch.from_arrays([ids, fields, prompts, numbers, *[pa.array(x, f.type).take(at) for x, f in zip(made, list(_READ)[4:])]], schema=_READ)
 
 
 @lru_cache(maxsize=500_000)

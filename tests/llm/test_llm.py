@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -593,3 +594,41 @@ def test_forms_of_questions_that_ask_for_another_language(spark):
 def test_copies_of_any_length(question, answer):
     assert pairs.is_copied(question, answer)
     assert not pairs.is_copied(question, answer + " In Norbury.")
+
+
+def test_answers_that_go_on_are_not_compared_in_full(monkeypatch):
+    """Nor are those without the question's letters near their end; slips of the pen still are."""
+    question = "Who gave the glass globe to Kennita?"
+    assert pairs.is_copied(question, "You ask: Who gvae the glass globe to Kennitta?")
+
+    def never(*args, **options):
+        raise AssertionError("compared in full")
+
+    monkeypatch.setattr(pairs, "SequenceMatcher", never)
+    assert not pairs.is_copied(question, "It was Belnita who gave the glass globe to Kennita during the meeting in Bramovia.")
+    assert not pairs.is_copied(question, "The one who gave the glass globe to Kennita was Dr. Wuppy.")
+
+
+def test_labelled_texts_are_divided_once_for_each_run(monkeypatch):
+    """Of a hundred texts with the same runs between white space, each run is divided into words once; the counts are those of the words."""
+    text, calls = "L’été «d'avant», ¿quién\xa0sabe? The mill's wheel\x1cturns; O'Neil's_too and co-op", []
+    divide = pairs._words
+    monkeypatch.setattr(pairs, "_words", lambda x: calls.append(x) or divide(x))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 100), pa.array(["fr"] * 100)], ["text", "lang"])
+    got = {(lang, b): n for made in pairs._counted(iter([batch])) for lang, b, n in zip(*(c.to_pylist() for c in made.columns))}
+    assert len(calls) <= len(text.split())
+    right = Counter(b for w in pairs.small_words(text) for b in pairs._trigrams(w))
+    assert got == {("fr", b): 100 * n for b, n in right.items()} | {("", pairs.TEXTS): 100}
+
+
+@pytest.mark.parametrize("text", ["L’été d'avant", "ΑΣ.Β ΑΣ", "İstanbul Straße", "a\x1cb_c #1 # Nora Tom # x", "co-op 3½ ² €5 «l'eau»", "その人は Ω"])
+def test_shortcuts_of_words_and_masks(text):
+    """Words in lower case, and tokens of the two engines."""
+    assert pairs._lower_words(text) == pairs._WORD.findall(text.lower())
+    if not pairs._FAR.search(text):
+        assert pairs._NEAR_TOKEN.findall(text) == pairs._TOKEN.findall(text)
+
+
+def test_masks_join_names_and_keep_signs():
+    assert pairs.mask("Nora Tom # 12 the # Hill", frozenset(["the"])) == ["#", "#", "#"]
+    assert pairs.mask("I saw Nora, Tom and # x") == ["i", "saw", "#", ",", "#", "and", "#", "x"]
